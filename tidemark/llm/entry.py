@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from tidemark.llm.packing import op6_pack
 from tidemark.llm.secrets import op10_secret_scan
+from tidemark.llm.token_counts import op3_token_counts
+from tidemark.llm.token_output import op8_token_output
 
-QUERIES = {"op10_secret_scan": op10_secret_scan}
+QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op6_pack": op6_pack,
+    "op8_token_output": op8_token_output,
+    "op10_secret_scan": op10_secret_scan,
+}
 ORACLE_SQL: dict[str, str] = {}
