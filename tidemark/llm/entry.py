@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tidemark.llm.packing import op6_pack
 from tidemark.llm.secrets import op10_secret_scan
 from tidemark.llm.token_counts import op3_token_counts
@@ -9,8 +10,9 @@ from tidemark.llm.token_output import op8_token_output
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_decontaminate": op5_decontaminate,
     "op6_pack": op6_pack,
     "op8_token_output": op8_token_output,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
