@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 13
-MOST_WINDOWS, MOST_BYTES = 200_000, 64 << 20  # of a benchmark whose windows are sent to all tasks
+MOST_WINDOWS, MOST_BYTES = 50_000, 64 << 20  # of a benchmark whose windows are sent to all tasks
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -24,8 +24,26 @@ def words(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " ", -1))
 
 
-def _window(tokens: Column, at: Column, size: int) -> Column:
-    return F.array_join(F.slice(tokens, at, size), " ")
+def _parts(places: list[int], at: Column) -> Column:
+    return F.xxhash64(*(F.get("wh", at + (k - 1)) for k in places))
+
+
+def _among(size: int, known: tuple[list[int], list[int]]):
+    """Whether the window at a 1-based place may be known: first by three of its words, then by all."""
+    some, whole = known
+    return lambda i: _parts(_three(size), i).isin(some) & _parts(list(range(size)), i).isin(whole)
+
+
+def _three(size: int) -> list[int]:
+    return sorted({0, size // 2, size - 1})
+
+
+def _place(size: int):
+    def place(i):
+        words = F.transform(F.sequence(i, i + size - 1), lambda j: F.get("w", j - 1))
+        return F.struct(i.alias("at"), F.lit(size).alias("n"), F.array_join(words, " ").alias("window"))
+
+    return place
 
 
 @dataclass
@@ -34,7 +52,7 @@ class Windows:
 
     table: DataFrame
     sizes: list[int]
-    hashes: dict[int, list[int]] | None
+    hashes: dict[int, tuple[list[int], list[int]]] | None
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, most: int = MOST_WINDOWS) -> Windows:
@@ -44,17 +62,18 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, most: int = MOST
     size = F.least(F.size("w"), F.lit(width))
     at = F.explode(F.sequence(F.lit(1), F.size("w") - size + 1))
     rows = w.withColumn("n_words", size).select("item", "w", "n_words", at.alias("at"))
-    rows = rows.select("item", "n_words", F.array_join(F.slice("w", F.col("at"), F.col("n_words")), " ").alias("window"),
-                       F.xxhash64(F.transform(F.slice("w", F.col("at"), F.col("n_words")), lambda x: F.xxhash64(x))).alias("hash"))
-    table = rows.groupBy("window", "n_words", "hash").agg(F.collect_set("item").alias("items"))
+    rows = rows.select("item", "n_words", F.slice("w", F.col("at"), F.col("n_words")).alias("part"))
+    table = rows.groupBy(F.array_join("part", " ").alias("window"), "n_words").agg(F.collect_set("item").alias("items"), F.first("part").alias("part"))
     total = table.agg(F.count("*").alias("n"), F.sum(F.length("window") + 16 + F.size("items") * 16).alias("bytes"),
                       F.collect_set("n_words").alias("sizes")).first()
     sizes, hashes = sorted(total["sizes"]), None
     if total["n"] <= most and (total["bytes"] or 0) <= MOST_BYTES:
-        hashes = {s: [] for s in sizes}
-        for r in table.select("n_words", "hash").distinct().collect():
-            hashes[r["n_words"]].append(r["hash"])
-    return Windows(table.drop("hash"), sizes, hashes)
+        hashes = {}
+        for s in sizes:
+            own = table.filter(F.col("n_words") == s).select(F.transform("part", lambda x: F.xxhash64(x)).alias("wh"))
+            found = own.select(_parts(_three(s), F.lit(1)), _parts(list(range(s)), F.lit(1))).collect()
+            hashes[s] = sorted({r[0] for r in found}), sorted({r[1] for r in found})
+    return Windows(table.drop("part"), sizes, hashes)
 
 
 def find_hits(docs: DataFrame, windows: Windows) -> DataFrame:
@@ -68,13 +87,13 @@ def find_hits(docs: DataFrame, windows: Windows) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")
     d = docs.select(row, words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("id"))
     found = []
-    d = d.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+    # the generator keeps the words and their hashes from being computed again for each window
+    d = d.select("id", "row", F.inline(F.array(F.struct("w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh")))))
     for s in windows.sizes:
         places = F.when(F.size("w") >= s, F.sequence(F.lit(1), F.size("w") - s + 1)).otherwise(F.array().cast("array<int>"))
         if windows.hashes is not None:
-            known = windows.hashes[s]
-            places = F.filter(places, lambda i, s=s, known=known: F.xxhash64(F.slice("wh", i, s)).isin(known))
-        found.append(F.transform(places, lambda i, s=s: F.struct(i.alias("at"), F.lit(s).alias("n"), _window(F.col("w"), i, s).alias("window"))))
+            places = F.filter(places, _among(s, windows.hashes[s]))
+        found.append(F.transform(places, _place(s)))
     none = F.array().cast("array<struct<at:int,n:int,window:string>>")
     d = d.select("id", "row", "w", (F.concat(*found) if found else none).alias("found"))
     return d

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tidemark.llm.ngram_join import OP4_SQL, op4_ngram_join
 from tidemark.llm.packing import op6_pack
 from tidemark.llm.secrets import op10_secret_scan
 from tidemark.llm.token_counts import op3_token_counts
@@ -10,9 +11,10 @@ from tidemark.llm.token_output import op8_token_output
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_pack": op6_pack,
     "op8_token_output": op8_token_output,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_decontaminate": OP5_SQL}
