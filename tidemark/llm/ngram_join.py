@@ -232,7 +232,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE
     """``docs`` with one document of each component, that with the smallest doc_id; rows with a null
     doc_id stay. If that doc_id is repeated, its rows stay as they are."""
     kept = link_documents(docs, width, share).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
+    return docs.join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null")).select(docs.columns)
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
