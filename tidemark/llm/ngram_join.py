@@ -11,9 +11,11 @@ traversed with it. No group of near copies is expanded into pairs once it is con
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected_components, staged, text_slices
@@ -21,11 +23,12 @@ from tidemark.llm.prefix_tree import PrefixTree
 from tidemark.llm.shingles import WIDTH, set_fingerprint, shingle_sets
 
 SHARE = (80, 100)
-STARS = 2  # rounds with leaders before all remaining pairs are tried
+STARS = 4  # rounds with leaders at most, before all remaining pairs are tried
 FREQUENT = 100_000  # shingles that are ordered by count; any order gives the same links
 CHUNK = 2_000_000  # shingles that a task counts at once
 GROUP = 256  # sets in one prefix tree
 _COLD = np.uint64((1 << 62) - 1)
+BITS = 4096  # of a set's parity bitmap
 
 
 class Order:
@@ -106,14 +109,30 @@ def _first_codes(width: int, order, share):
     return run
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """For each place whether an odd number of the set's shingles falls there: two bitmaps differ in at most
+    as many places as the sets differ in shingles."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _same_set(width: int):
-    """Keep the rows (node, text) whose text has that fingerprint: a doc_id may be repeated with another text."""
+    """Keep the rows (node, text) whose text has that fingerprint, as a doc_id may be repeated with other texts;
+    with the set's bitmap."""
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for s, e in text_slices(batch.column(1)):
                 part = batch.slice(s, e - s)
-                same = [set_fingerprint(x)[0] == n for n, x in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True)]
-                yield part.filter(pa.array(same, pa.bool_()))
+                rows, sizes, bits = [], [], []
+                for i, (node, x) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True)):
+                    if node not in seen and set_fingerprint(x)[0] == node:
+                        seen.add(node)
+                        rows.append(i)
+                        sizes.append(len(x))
+                        bits.append(_parity(x))
+                kept = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "n", "bits"])
     return run
 
 
@@ -140,7 +159,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, order, share) -> Dat
     per = pairs.groupBy("probe").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     dealt = pairs.join(per, "probe").select("probe", F.expr("pmod(xxhash64(node, probe), parts)").alias("part"), "node")
     probes = per.select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("probe").alias("node"))
-    rows = dealt.union(probes).join(texts, "node")
+    rows = dealt.union(probes).join(texts.select("node", "text"), "node")
     return rows.groupBy("probe", "part").applyInArrow(_verified(width, order, share), "u long, v long")
 
 
@@ -152,10 +171,25 @@ def _near(share) -> str:
 
 
 def _star_pairs(hits: DataFrame, turn: int, share) -> DataFrame:
-    """Each set with the leader of each of its codes; a leader is one set of the code's, another one each turn."""
-    leaders = hits.groupBy("code").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "component")).alias("y")).select("code", "y.*")
-    near = hits.alias("x").join(leaders.alias("y"), F.expr(f"x.code = y.code and x.component <> y.component and {_near(share)}"))
-    return near.select(F.col("y.node").alias("probe"), F.col("x.node").alias("node")).distinct()
+    """Each set with one leader at most: of the leaders of its codes, that of the most codes. A code has a leader
+    for each class of set sizes; classes overlap from turn to turn. In even turns it is the set that has the code
+    earliest, which passes the position bound with most others; in odd turns any, by a hash."""
+    hits = hits.withColumn("size", F.floor(F.log(F.col("n")) / math.log(share[1] / share[0]) + (turn // 2 % 2) / 2))
+    early = F.col("at") / F.col("n") if turn % 2 == 0 else F.lit(0.0)
+    leaders = hits.groupBy("code", "size").agg(F.min(F.struct(early.alias("e"), F.xxhash64("component", F.lit(turn)).alias("h"), "node", "n", "at", "component")).alias("y")).select("code", "size", "y.*")
+    near = hits.alias("x").join(leaders.alias("y"), F.expr(f"x.code = y.code and x.size = y.size and x.component <> y.component and {_near(share)}"))
+    votes = near.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("probe")).agg(F.count("*").alias("n"))
+    return votes.groupBy("node").agg(F.max(F.struct("n", "probe")).alias("best")).select("best.probe", "node")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, share) -> DataFrame:
+    """The pairs whose bitmaps don't differ in more places than linked sets may differ in shingles."""
+    p, q = share
+    bits = texts.select("node", "n", "bits")
+    both = pairs.join(bits, "node").join(bits.select(F.col("node").alias("probe"), F.col("n").alias("m"), F.col("bits").alias("other")), "probe")
+    apart = F.aggregate(F.zip_with("bits", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    # the overlap is at least p / (p + q) of both sizes together
+    return both.filter(apart * (p + q) <= (F.col("n") + F.col("m")) * (q - p)).select("probe", "node")
 
 
 def _other_pairs(hits: DataFrame, share) -> DataFrame:
@@ -164,13 +198,21 @@ def _other_pairs(hits: DataFrame, share) -> DataFrame:
     return near.select(F.col("x.node").alias("probe"), F.col("y.node").alias("node")).distinct()
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """``node, component``: equal labels only for nodes that are connected; connected ones may still differ."""
+def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``node, component`` after ``links``: equal only for nodes that are connected; connected ones may still
+    differ. Components of ``labels`` are contracted, so a few rounds join long chains too."""
+    if labels is not None:
+        for c in ("u", "v"):
+            links = links.join(labels.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    links = links.select("u", "v").filter("u <> v")
     both = links.union(links.select("v", "u"))
     low = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
     for _ in range(2):
         low = low.alias("x").join(low.alias("y"), F.expr("x.v = y.u")).select("x.u", "y.v")
-    return low.toDF("node", "component")
+    if labels is None:
+        return low.toDF("node", "component")
+    moved = labels.join(low, F.col("component") == F.col("u"), "left").select("node", F.coalesce("v", "component").alias("component"))
+    return moved.union(low.join(labels.select(F.col("node").alias("u")), "u", "left_anti").toDF("node", "component"))
 
 
 def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -191,29 +233,36 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
 
     known = docs.filter("doc_id is not null")
     first = staged(known.select("text").mapInArrow(_first_codes(width, order, share), "code long, node long, n int, at int"), "codes")
-    shared = first.groupBy("code").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("code")
-    hits = staged(first.join(shared, "code").distinct(), "hits")
+    # frequent codes are taken to be shared; no other one has many sets
+    own = Window.partitionBy("code")
+    rare = first.filter(F.col("code") <= int(_COLD)).withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).filter("lo <> hi").drop("lo", "hi")
+    hits = staged(rare.union(first.filter(F.col("code") > int(_COLD))), "hits")
 
     classes = staged(rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")), "classes")
     needed = hits.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id")
-    texts = needed.join(known, "doc_id").select("node", "text").mapInArrow(_same_set(width), "node long, text string")
-    texts = staged(texts.dropDuplicates(["node"]), "texts")
+    texts = needed.join(known, "doc_id").select("node", "text").mapInArrow(_same_set(width), "node long, text string, n int, bits array<long>")
+    texts = staged(texts, "texts")
 
-    labels, links = None, None
-    for turn in range(STARS + 1):
+    labels, links, star, turn = None, None, True, 0
+    while True:
         if labels is None:
             live = hits.withColumn("component", F.col("node"))
         else:
             live = hits.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = live.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("code")
         live = staged(live.join(mixed, "code"), "live")
-        pairs = staged(_star_pairs(live, turn, share) if turn < STARS else _other_pairs(live, share), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = staged(_verify(pairs, texts, width, order, share), "links")
-        links = found if links is None else links.union(found)
-        if turn < STARS:
-            labels = staged(_labels(links), "labels")
+        pairs = _star_pairs(live, turn, share) if star else _other_pairs(live, share)
+        pairs = staged(_possible(pairs, texts, share), "pairs")
+        found = None if pairs.isEmpty() else staged(_verify(pairs, texts, width, order, share), "links")
+        more = found is not None and not found.isEmpty()
+        if more:
+            links = found if links is None else links.union(found)
+        if not star:
+            break
+        turn += 1
+        star = more and turn < STARS
+        if more:
+            labels = staged(_labels(links, labels), "labels")
     components = None if links is None else staged(connected_components(links), "components")
 
     label = classes.select("a", "b", "doc_id")
