@@ -127,7 +127,7 @@ def ratio_outliers(df: DataFrame, key: list[str], a: str, b: str, z: float = 5.0
     m = r.agg(F.percentile("ratio", 0.5).alias("med"))
     d = r.join(F.broadcast(m)).withColumn("dist", F.abs(F.col("ratio") - F.col("med")))
     mad = d.agg((F.percentile("dist", 0.5) * 1.4826).alias("mad"))
-    return d.join(F.broadcast(mad)).filter((F.col("mad") > 0) & (F.col("dist") > z * F.col("mad"))).select(*key, F.round("ratio", 2).alias("ratio"))
+    return d.join(F.broadcast(mad)).filter((F.col("mad") > 0) & (F.col("dist") > z * F.col("mad"))).select(*key, F.floor("ratio").alias("ratio"))
 
 
 def exclusive_prefixes(df: DataFrame, group: str, prefix: Column) -> DataFrame:

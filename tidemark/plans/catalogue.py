@@ -290,7 +290,7 @@ def outlier_iqr(t):
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS ratio FROM lineitem WHERE l_quantity <> 0), m AS (SELECT median(ratio) AS med FROM r),
 d AS (SELECT r.*, abs(ratio - med) AS dist FROM r, m), k AS (SELECT median(dist) * 1.4826 AS mad FROM d)
-SELECT l_orderkey, l_linenumber, round(ratio, 2) AS ratio FROM d, k WHERE mad > 0 AND dist > 5 * mad""")
+SELECT l_orderkey, l_linenumber, CAST(floor(ratio) AS BIGINT) AS ratio FROM d, k WHERE mad > 0 AND dist > 5 * mad""")
 def ratio_outliers(t):
     return recipes.ratio_outliers(t("lineitem"), ["l_orderkey", "l_linenumber"], "l_extendedprice", "l_quantity")
 
