@@ -23,7 +23,7 @@ from tidemark.llm.prefix_tree import PrefixTree
 from tidemark.llm.shingles import WIDTH, set_fingerprint, shingle_sets
 
 SHARE = (80, 100)
-STARS = 4  # rounds with leaders at most, before all remaining pairs are tried
+STARS = 2  # rounds with leaders at most, before all remaining pairs are tried
 FREQUENT = 100_000  # shingles that are ordered by count; any order gives the same links
 CHUNK = 2_000_000  # shingles that a task counts at once
 GROUP = 256  # sets in one prefix tree
