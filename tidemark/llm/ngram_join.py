@@ -60,7 +60,7 @@ def _survey(width: int):
             values, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= 3
             return pa.RecordBatch.from_arrays(
-                [pa.array([None] * int(often.sum()), pa.int64()), _long(n[often].astype(np.int64)), _long(values[often].view(np.int64)), pa.nulls(int(often.sum()), pa.int64()), pa.array([False] * int(often.sum()))],
+                [pa.array([None] * int(often.sum()), pa.int64()), _long(n[often].astype(np.int64)), _long(values[often].view(np.int64)), pa.nulls(int(often.sum()), pa.int64()), pa.array([False] * int(often.sum()), pa.bool_())],
                 names=["doc_id", "n", "a", "b", "is_doc"])
 
         for batch in batches:
@@ -69,7 +69,7 @@ def _survey(width: int):
                 sets = shingle_sets(part.column(1), width)
                 prints = [set_fingerprint(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _long([len(x) for x in sets]), _long([p[0] for p in prints]), _long([p[1] for p in prints]), pa.array([True] * len(sets))],
+                    [part.column(0), _long([len(x) for x in sets]), _long([p[0] for p in prints]), _long([p[1] for p in prints]), pa.array([True] * len(sets), pa.bool_())],
                     names=["doc_id", "n", "a", "b", "is_doc"])
                 for x, p in zip(sets, prints, strict=True):
                     if len(x) and p not in seen:
