@@ -85,7 +85,7 @@ def spread(df: DataFrame, item: str, entity: str, period: Column, price: Column,
     g = x.groupBy("item", "period").agg(F.min("price").alias("lo"), F.max("price").alias("hi"), F.min("entity").alias("e1"), F.max("entity").alias("e2"),
                                         F.sum(F.col("price") * F.col("quantity")).alias("paid"), F.sum("quantity").alias("q"))
     g = g.filter((F.col("e1") != F.col("e2")) & (F.col("hi") > F.col("lo") * (1 + gap)))
-    return g.groupBy("item").agg(F.count("*").alias("n_periods"), F.round(F.sum(F.col("paid") - F.col("lo") * F.col("q")), 2).alias("excess"))
+    return g.groupBy("item").agg(F.count("*").alias("n_periods"), F.round(F.sum(F.col("paid") - F.col("lo") * F.col("q")) + 1e-6, 2).alias("excess"))  # half cents go up whatever the order of the sum
 
 
 def price_trend(df: DataFrame, item: str, entity: str, period: Column, price: Column, quantity: Column) -> DataFrame:

@@ -254,7 +254,7 @@ def product_check(t):
 _PRICED = "(SELECT l_partkey AS item, l_suppkey AS e, date_trunc('month', l_shipdate) AS m, l_extendedprice / l_quantity AS p, l_quantity AS q FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0)"
 
 
-@query(f"""SELECT item, count(*) AS n_periods, round(sum(paid - lo * q), 2) AS excess FROM (SELECT item, m, min(p) AS lo, max(p) AS hi, sum(p * q) AS paid, sum(q) AS q FROM {_PRICED} GROUP BY 1, 2 HAVING count(DISTINCT e) > 1 AND max(p) > min(p) * 1.05) GROUP BY 1""")
+@query(f"""SELECT item, count(*) AS n_periods, round(sum(paid - lo * q) + 1e-6, 2) AS excess FROM (SELECT item, m, min(p) AS lo, max(p) AS hi, sum(p * q) AS paid, sum(q) AS q FROM {_PRICED} GROUP BY 1, 2 HAVING count(DISTINCT e) > 1 AND max(p) > min(p) * 1.05) GROUP BY 1""")
 def spread_part_supplier(t):
     return recipes.spread(t("lineitem"), "l_partkey", "l_suppkey", F.trunc("l_shipdate", "month"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"))
 
