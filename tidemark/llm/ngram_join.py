@@ -247,10 +247,10 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     while True:
         if labels is None:
             live = hits.withColumn("component", F.col("node"))
-        else:
+        else:  # codes of one component alone have nothing left to link
             live = hits.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = live.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("code")
-        live = staged(live.join(mixed, "code"), "live")
+            mixed = live.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("code")
+            live = staged(live.join(mixed, "code"), "live")
         pairs = _star_pairs(live, turn, share) if star else _other_pairs(live, share)
         pairs = staged(_possible(pairs, texts, share), "pairs")
         found = None if pairs.isEmpty() else staged(_verify(pairs, texts, width, order, share), "links")
