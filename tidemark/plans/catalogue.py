@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_date, parse_number
-from tidemark.operators import fresh, graph, joins, keys, profile, recipes, timeline
+from tidemark.operators import evidence, fresh, graph, joins, keys, profile, recipes, timeline
 from tidemark.operators.rules import Rule, apply_rules, rule_effect
 
 QUERIES: dict = {}
@@ -441,3 +441,112 @@ def formula_reach(t):
 @query("""SELECT lower(trim(p_type)) AS k, count(*) AS n FROM part GROUP BY 1""")
 def normal_keys(t):
     return t("part").groupBy(norm_text(F.col("p_type")).alias("k")).agg(F.count("*").alias("n"))
+
+
+# evidence about columns
+@query("""SELECT o_orderpriority AS value, count(*) AS n_rows, round(sum(o_totalprice), 2) AS amount, round(sum(abs(o_totalprice)), 2) AS absolute,
+strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day FROM orders GROUP BY 1""")
+def value_stats_priority(t):
+    return evidence.value_stats(t("orders"), "o_orderpriority", "o_totalprice", "o_orderdate")
+
+
+@query("""SELECT count(DISTINCT n_nationkey) AS n_a, count(DISTINCT n_name) AS n_b, count(DISTINCT (n_nationkey, n_name)) AS n_pairs,
+count(DISTINCT (n_nationkey, n_name)) = count(DISTINCT n_nationkey) AND count(DISTINCT (n_nationkey, n_name)) = count(DISTINCT n_name) AS is_one_to_one FROM nation""")
+def one_to_one_nation(t):
+    return evidence.one_to_one(t("nation"), "n_nationkey", "n_name")
+
+
+@query("SELECT count(*) FILTER (l_discount = 0) AS n_hit, round(sum(CASE WHEN l_discount = 0 THEN abs(l_extendedprice) ELSE 0 END) / sum(abs(l_extendedprice)), 6) AS stake FROM lineitem")
+def row_stake_undiscounted(t):
+    return evidence.row_stake(t("lineitem"), F.col("l_discount") == 0, "l_extendedprice")
+
+
+@query("SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n_rows, round(sum(l_extendedprice * (1 - l_discount)), 2) AS amount FROM lineitem GROUP BY 1")
+def monthly_revenue(t):
+    return evidence.monthly_totals(t("lineitem"), "l_shipdate", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+
+
+@query(" UNION ALL ".join(f"SELECT '{w}' AS product, '{a}' AS a, '{b}' AS b, count(*) FILTER (abs({a} * {b} - {w}) <= 0.0051) AS n_equal FROM lineitem" for w, a, b in (
+    ("l_quantity", "l_discount", "l_tax"), ("l_discount", "l_quantity", "l_tax"), ("l_tax", "l_quantity", "l_discount"))))
+def products_lineitem(t):
+    return evidence.products_of(t("lineitem"), ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("SELECT regexp_extract(p_name, '^[A-Za-z]+') AS prefix, count(*) AS n_rows, count(DISTINCT p_name) AS n_values FROM part WHERE p_name IS NOT NULL GROUP BY 1 HAVING prefix <> '' AND count(*) >= 3")
+def prefix_families_part(t):
+    return evidence.prefix_families(t("part"), "p_name")
+
+
+@query("""SELECT CASE WHEN l_shipdate < TIMESTAMP '1995-06-01' THEN 'before' ELSE 'after' END AS side, count(*) AS n_rows,
+round(avg(CASE WHEN l_extendedprice = floor(l_extendedprice) THEN 1.0 ELSE 0.0 END), 6) AS whole_share, count(DISTINCT l_extendedprice) AS n_values,
+percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice DESC) AS median FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY 1""")
+def profile_change_price(t):
+    return evidence.profile_change(t("lineitem"), "l_shipdate", "1995-06-01", "l_extendedprice")
+
+
+@query("""SELECT weekday, count(*) AS n_days, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(n) / sum(sum(n)) OVER (), 6) AS share
+FROM (SELECT CAST(isodow(CAST(ts AS DATE)) - 1 AS INTEGER) AS weekday, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
+def weekday_rows_events(t):
+    return evidence.weekday_rows(t("events"), "ts")
+
+
+@query("""WITH n AS (SELECT strftime(ts, '%Y-%m-%d %H') AS block, count(*) AS n_rows FROM events GROUP BY 1)
+SELECT block, n_rows FROM n WHERE n_rows >= 1.8 * (SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY n_rows DESC) FROM n)""")
+def double_blocks_events(t):
+    return evidence.double_blocks(t("events"), F.date_format("ts", "yyyy-MM-dd HH"))
+
+
+@query("""SELECT 'debit' AS a, 'credit' AS b, count(*) FILTER (debit < 0 OR credit < 0) AS n_negative, count(*) FILTER (debit <> 0 AND credit <> 0) AS n_both, count(*) FILTER (debit <> 0 OR credit <> 0) AS n_either
+FROM (SELECT greatest(c_acctbal, 0) AS debit, greatest(-c_acctbal, 0) AS credit FROM customer)""")
+def side_pairs_customer(t):
+    sides = t("customer").select(F.greatest("c_acctbal", F.lit(0.0)).alias("debit"), F.greatest(-F.col("c_acctbal"), F.lit(0.0)).alias("credit"))
+    return evidence.side_pairs(sides, ["debit", "credit"])
+
+
+@query("SELECT lower(c_mktsegment) AS value, count(*) AS n_rows FROM customer WHERE c_custkey % 2 = 0 AND lower(c_mktsegment) <> c_mktsegment GROUP BY 1")
+def join_variants_segment(t):
+    """Half of the customers with their segment in lower case against the segments as they are spelled."""
+    c = t("customer")
+    left = c.select(F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("segment"))
+    return evidence.join_variants(left, c, "segment", "c_mktsegment")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n_filled, count(*) FILTER (regexp_matches({c}, '^\\s*[-+]?[0-9][0-9,]*(\\.[0-9]+)?\\s*$')) AS n_numbers FROM part" for c in ("p_name", "p_brand", "p_type")))
+def numbers_as_text_part(t):
+    return evidence.numbers_as_text(t("part"), ["p_name", "p_brand", "p_type"])
+
+
+@query("SELECT event_type, count(*) AS n_rows, round(sum(value), 2) AS amount FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY 1")
+def latest_totals_events(t):
+    return evidence.latest_totals(t("events"), "ts", "event_type", "value")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{a}' AS start, '{z}' AS \"end\", count(*) FILTER ({a} IS NOT NULL AND {z} IS NOT NULL) AS n_rows, count(*) FILTER ({z} >= {a}) AS n_ordered FROM (SELECT l_shipdate AS shipped, l_shipdate + INTERVAL 3 DAY AS received FROM lineitem)) WHERE n_rows > 0 AND n_ordered >= 0.95 * n_rows"
+                         for a, z in (("shipped", "received"), ("received", "shipped"))))
+def window_columns_lineitem(t):
+    return evidence.window_columns(t("lineitem").select(F.col("l_shipdate").alias("shipped"), F.expr("l_shipdate + INTERVAL 3 DAYS").alias("received")), ["shipped", "received"])
+
+
+@query("""SELECT status, n_rows, n_blank, n_rows = n_blank AND n_blank = sum(n_blank) OVER () AND n_rows >= 5 AS lines_up FROM (
+SELECT o_orderstatus AS status, count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS n_blank FROM orders GROUP BY 1)""")
+def status_lines_up_orders(t):
+    """Order dates made blank where the status is F."""
+    return evidence.status_lines_up(t("orders").withColumn("paid", F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate"))), "o_orderstatus", "paid")
+
+
+@query("SELECT user_id, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS n_periods, count(*) AS n_rows FROM events WHERE user_id IS NOT NULL GROUP BY 1 HAVING n_periods >= 3 AND count(*) FILTER (event_type = 'purchase' AND value > 150) = 0")
+def never_credited_users(t):
+    return evidence.never_credited(t("events"), "user_id", F.date_format("ts", "yyyy-MM-dd"), (F.col("event_type") == "purchase") & (F.col("value") > 150))
+
+
+@query("""WITH m AS (SELECT l_linenumber, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity DESC) AS quantity, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice DESC) AS price FROM lineitem GROUP BY 1)
+SELECT l_linenumber, quantity, price, coalesce((SELECT bool_and(m.quantity * 3 <= o.quantity AND m.price >= 1.5 * o.price) FROM m o WHERE o.l_linenumber <> m.l_linenumber), false) AS other_unit FROM m""")
+def unit_groups_lineitem(t):
+    return evidence.unit_groups(t("lineitem"), "l_linenumber", "l_quantity", "l_extendedprice")
+
+
+@query("""WITH u AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity >= 40), s AS (SELECT p_type, min(p_partkey) AS live_code FROM part WHERE p_partkey IN (SELECT k FROM u) GROUP BY 1)
+SELECT p_partkey AS code, live_code FROM part JOIN s USING (p_type) WHERE p_partkey NOT IN (SELECT k FROM u)""")
+def stale_codes_part(t):
+    """Parts without a large line whose type a part with one has."""
+    return evidence.stale_codes(t("part"), t("lineitem").filter("l_quantity >= 40"), "p_partkey", "p_type", "l_partkey")
