@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_number
-from tidemark.operators import fresh, graph, keys, recipes
+from tidemark.operators import fresh, graph, joins, keys, recipes
 from tidemark.operators.rules import Rule, apply_rules
 
 
@@ -38,3 +38,14 @@ def test_empty_tables(spark):
 def test_schema_changes(spark):
     a, b = spark.createDataFrame([], "x int, y int"), spark.createDataFrame([], "y string, z int")
     assert fresh.schema_changes(a, b) == {"added": ["z"], "removed": ["x"], "retyped": ["y"]}
+
+
+def test_reference_price_takes_one_version(spark):
+    ref = spark.createDataFrame([(1, "2000-01-01", "2000-06-30", 1.0), (1, "2000-06-01", "2000-12-31", 2.0), (1, "2001-01-01", None, 3.0), (1, None, "1999-12-31", 4.0),
+                                 (2, "2000-01-01", None, 5.0), (2, "2000-01-01", None, None), (3, "2000-01-01", "2000-12-31", 6.0), (3, "2000-01-01", "2000-12-31", 7.0)], "k int, a string, z string, p double")
+    want = [(1, "2000-06-15", 1.0), (1, "2000-06-15", 1.0), (1, "2000-07-01", 2.0), (1, "2005-01-01", 3.0), (1, "1990-01-01", 4.0), (1, None, None),
+            (2, "1990-01-01", 5.0), (2, None, 5.0), (3, "2000-05-05", 6.0), (3, "2001-01-01", None), (4, "2000-05-05", None), (None, "2000-05-05", None)]
+    lines = spark.createDataFrame(want, "k int, d string, want double")
+    got = joins.reference_price(lines, ref, "k", "d", "a", "z", "p")
+    assert got.columns == ["k", "d", "want", "reference"] and got.count() == len(want)
+    assert got.filter("not reference <=> want").count() == 0

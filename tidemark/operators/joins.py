@@ -34,12 +34,20 @@ def version_overlaps(versions: DataFrame, key: str, start: str, end: str) -> Dat
 
 
 def reference_price(lines: DataFrame, ref: DataFrame, key: str, day: str, start: str, end: str, price: str) -> DataFrame:
-    """Lines with ``reference``: the price of the key's only row, else of the row that covers the day, else null."""
-    w = Window.partitionBy(key)
-    r = ref.select(key, F.col(start).alias("_a"), F.col(end).alias("_z"), F.col(price).alias("reference"), F.count("*").over(w).alias("_n"))
-    x, y = lines.alias("x"), r.alias("y")
-    on = (F.col(f"x.{key}") == F.col(f"y.{key}")) & ((F.col("_n") == 1) | F.col(f"x.{day}").between(F.col("_a"), F.col("_z")))
-    return x.join(y, on, "left").select("x.*", "reference")
+    """Lines with ``reference``: the price of the key's only row, else of the row that covers the day, else null.
+
+    Rows without a price don't count; a null start or end is open. Of several rows that cover a day the one that
+    starts first is taken, then the one that ends first, then the lowest price. It is chosen once for each key and
+    day, so no line is repeated.
+    """
+    r = ref.filter(F.col(price).isNotNull()).select(F.col(key).alias("_k"), F.coalesce(F.col(start).cast("date"), F.lit("0001-01-01").cast("date")).alias("_a"),
+                                                    F.coalesce(F.col(end).cast("date"), F.lit("9999-12-31").cast("date")).alias("_z"), F.col(price).alias("_price"))
+    r = r.withColumn("_n", F.count("*").over(Window.partitionBy("_k")))
+    days = lines.select(F.col(key).alias("_k"), F.col(day).cast("date").alias("_d")).distinct()
+    covering = days.join(r, "_k").filter((F.col("_n") == 1) | F.col("_d").between(F.col("_a"), F.col("_z")))
+    y = covering.groupBy("_k", "_d").agg(F.min(F.struct("_a", "_z", "_price")).alias("_first")).select("_k", "_d", F.col("_first._price").alias("reference"))
+    x, y = lines.alias("x"), y.alias("y")
+    return x.join(y, (F.col(f"x.{key}") == F.col("y._k")) & F.col(f"x.{day}").cast("date").eqNullSafe(F.col("y._d")), "left").select("x.*", "y.reference")
 
 
 def document_copies(df: DataFrame, content: list[str], key: str) -> DataFrame:

@@ -173,6 +173,26 @@ def asof_price(t):
     return priced.agg(F.count("*").alias("n_lines"), F.count("reference").alias("n_priced"), F.round(F.sum("reference"), 2).alias("total"))
 
 
+def _price_versions(t):
+    """``_windows`` of all parts, with an open-ended current version of each even part and an open start for each sixth."""
+    p = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    current = p.filter("l_partkey % 2 = 0").select("l_partkey", F.lit("1997-01-01").cast("date").alias("start"), F.lit(None).cast("date").alias("end"), (F.col("p_retailprice") * 3).alias("price"))
+    first = p.filter("l_partkey % 6 = 0").select("l_partkey", F.lit(None).cast("date").alias("start"), F.lit("1992-12-31").cast("date").alias("end"), (F.col("p_retailprice") * 4).alias("price"))
+    return _windows(t).union(current).union(first)
+
+
+@query(f"""WITH {_WINDOWS}, v AS (SELECT k, coalesce(a, DATE '0001-01-01') AS a, coalesce(z, DATE '9999-12-31') AS z, price, count(*) OVER (PARTITION BY k) AS n FROM (
+SELECT * FROM w UNION ALL SELECT p_partkey, DATE '1997-01-01', NULL, p_retailprice * 3 FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, NULL, DATE '1992-12-31', p_retailprice * 4 FROM part WHERE p_partkey % 6 = 0)),
+l AS (SELECT row_number() OVER () AS i, l_partkey AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem),
+x AS (SELECT v.price, row_number() OVER (PARTITION BY l.i ORDER BY v.a, v.z, v.price) AS r FROM l LEFT JOIN v ON v.k = l.k AND (v.n = 1 OR l.d BETWEEN v.a AND v.z))
+SELECT count(*) AS n_lines, count(price) AS n_priced, round(sum(price), 2) AS total FROM x WHERE r = 1""")
+def asof_price_whole(t):
+    lines = t("lineitem").withColumn("day", F.to_date("l_shipdate"))
+    priced = joins.reference_price(lines, _price_versions(t), "l_partkey", "day", "start", "end", "price")
+    return priced.agg(F.count("*").alias("n_lines"), F.count("reference").alias("n_priced"), F.round(F.sum("reference"), 2).alias("total"))
+
+
 @query("SELECT count(*) AS n_lines, count(*) FILTER (l_shipdate < o_orderdate) AS n_before FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def ship_before_order(t):
     j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
