@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, token_counts, token_output
+from tidemark.llm import packing, token_counts, token_output, tokens
 from tidemark.llm.common import scratch_path
 from tidemark.llm.tokens import Encoder, vocabulary
 
@@ -41,6 +41,16 @@ def test_encoder_equals_library(name):
     some()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_more_pieces_than_slots(monkeypatch, name):
+    monkeypatch.setattr(tokens, "_SLOTS", 1 << 8)
+    monkeypatch.setattr(tokens, "MOST_PIECES", 64)
+    enc, library = Encoder(vocabulary(name)), plain(name)
+    texts = [" ".join(str(i * 7919) for i in range(1000)), "", "a b", "x".join(f"{i:020d}\n" for i in range(300)), "Ω " + "1 2 3"]
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode(texts)] == [library(t) for t in texts]
+
+
 def test_histogram_and_suffix_sums(spark, docs):
     ids = plain(token_counts.VOCABULARY)
     n = [len(ids(t)) for _, t in ROWS]

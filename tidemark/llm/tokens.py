@@ -4,7 +4,8 @@ Both word-splitting rules of the vocabularies used here never let a token cross
 white space and the word after it, nor one between a letter and an ASCII character that is none.
 A run of texts is cut there as one byte array, and each different piece is encoded by the library
 once per worker; pieces of up to 16 bytes are found by their bytes in a table of two integers,
-longer ones in a dictionary. A text with other than ASCII or Latin letters goes to the library whole.
+longer ones in a dictionary. Pieces are taken in runs that leave the table room, so that a text may have
+any number of different ones. A text with other than ASCII or Latin letters goes to the library whole.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ class Encoder:
 
     @staticmethod
     def _slot(k1, k2):
-        return ((k1 ^ (k2 * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(43)).astype(np.int64)
+        return ((k1 ^ (k2 * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - _SLOTS.bit_length())).astype(np.int64)
 
     def _look_up(self, k1, k2) -> np.ndarray:
         """Numbers of the pieces with these keys, -1 for new ones."""
@@ -149,17 +150,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         plain = [_plain(r) for r in raw]
-        if self.known > MOST_PIECES:
-            self._clear()
         parts = [r if p else b"" for r, p in zip(raw, plain, strict=True)]
         buf = b"\0" + b"\0".join(parts) + b"\0" * 17
         b = np.frombuffer(buf, np.uint8)
         starts, sizes = self._cut(b)
-        numbers = self._numbers(buf, b, starts, sizes)
-        count = self.count[numbers]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[numbers] - (ends - count), count) + np.arange(total)]
+        ids, counts, run = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], _SLOTS // 4
+        for at in range(0, len(starts), run):
+            if self.known > MOST_PIECES:
+                self._clear()
+            numbers = self._numbers(buf, b, starts[at : at + run], sizes[at : at + run])
+            count = self.count[numbers]
+            ends = np.cumsum(count)
+            ids.append(self.flat[np.repeat(self.start[numbers] - (ends - count), count) + np.arange(ends[-1])])
+            counts.append(count)
+        ids, ends = np.concatenate(ids), np.cumsum(np.concatenate(counts))
         edges = np.cumsum([0, *(len(p) + 1 for p in parts)])
         cuts = np.concatenate([[0], ends])[np.searchsorted(starts, edges)]
         return [ids[cuts[i] : cuts[i + 1]] if p else np.array(self._library([texts[i]])[0], "<u4") for i, p in enumerate(plain)]
