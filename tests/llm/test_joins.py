@@ -51,6 +51,17 @@ def test_link_documents(spark):
     assert ngram_join.link_documents(docs.limit(0)).count() == 0
 
 
+def test_count_links(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [(i, " ".join(words[i // 2 : i // 2 + 60])) for i in range(24)] + [(50, ""), (51, None), (52, ""), (53, "one two"), (54, "One  two"), (None, words[0])]
+    sets = {i: set(s.tolist()) for (i, _), s in zip(texts, shingle_sets(pa.array([t for _, t in texts])), strict=True)}
+    want = {i: sum(j != i and j is not None and 100 * len(a & b) >= 80 * len(a | b) for j, b in sets.items()) if a and i is not None else 0 for i, a in sets.items()}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.count_links(docs).collect()}
+    assert got == want and max(want.values()) > 10
+    assert ngram_join.count_links(docs.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

@@ -215,14 +215,9 @@ def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return moved.union(low.join(labels.select(F.col("node").alias("u")), "u", "left_anti").toDF("node", "component"))
 
 
-def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
-
-    Two documents link when ``share[1] * intersection >= share[0] * union`` of their shingle sets;
-    ``component_id`` is the smallest doc_id reachable. A null or empty text, or one without words, has an
-    empty set and is alone. A row with a null doc_id gets its set's size and a null component and links
-    nothing. Repeated rows give repeated results. Other columns are ignored. An empty table gives no rows.
-    """
+def _prepared(docs: DataFrame, width: int, share):
+    """Rows with set sizes and fingerprints, classes of equal sets, hits of shared first codes, one text for each
+    set that has hits, and the order."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = staged(docs.mapInArrow(_survey(width), "doc_id long, n long, a long, b long, is_doc boolean"), "survey")
@@ -242,6 +237,18 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     needed = hits.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id")
     texts = needed.join(known, "doc_id").select("node", "text").mapInArrow(_same_set(width), "node long, text string, n int, bits array<long>")
     texts = staged(texts, "texts")
+    return rows, classes, hits, texts, order
+
+
+def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+
+    Two documents link when ``share[1] * intersection >= share[0] * union`` of their shingle sets;
+    ``component_id`` is the smallest doc_id reachable. A null or empty text, or one without words, has an
+    empty set and is alone. A row with a null doc_id gets its set's size and a null component and links
+    nothing. Repeated rows give repeated results. Other columns are ignored. An empty table gives no rows.
+    """
+    rows, classes, hits, texts, order = _prepared(docs, width, share)
 
     labels, links, star, turn = None, None, True, 0
     while True:
@@ -277,6 +284,23 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def count_links(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
+    """``doc_id, n_links`` for each row of ``docs``: how many other rows link with it, copies included.
+
+    Every pair of different sets that may link is tried, connected or not, so the work grows with the number of
+    links between different sets; classes of equal sets only weigh. Rows with an empty set or a null doc_id have
+    and give no links.
+    """
+    rows, classes, hits, texts, order = _prepared(docs, width, share)
+    pairs = staged(_possible(_other_pairs(hits.withColumn("component", F.col("node")), share), texts, share), "pairs")
+    links = staged(_verify(pairs, texts, width, order, share), "links")
+    sizes = rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.count("*").alias("copies"))
+    others = links.union(links.select("v", "u")).join(sizes.select(F.col("a").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
+    per = sizes.join(others, F.col("a") == F.col("u"), "left").select("a", "b", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    n = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n_links")).otherwise(0).cast("long")
+    return rows.join(per, ["a", "b"], "left").select("doc_id", n.alias("n_links"))
+
+
 def keep_one(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id; rows with a null
     doc_id stay. If that doc_id is repeated, its rows stay as they are."""
