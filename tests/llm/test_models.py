@@ -40,6 +40,20 @@ def test_pages(spark, trees):
     assert got[0] == got[4] == "A & B\n\nFirst line of text, with bold words. More of it here.\n\nSecond block, of some words." and got[1] == got[2] == ""
 
 
+PLAIN = "The council met on Tuesday evening, and it decided to repair the old bridge. Work begins in May. " * 6
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (PLAIN, [PLAIN]), (f"{PLAIN}<p>{PLAIN}</p>{PLAIN}", [PLAIN] * 3), (f"<p>{PLAIN}</p>{PLAIN}", [PLAIN] * 2),
+    (f"<html><head><title>t</title><meta charset=x><article><p>{PLAIN}</p></article>", [PLAIN]), (f"<head><title>t</title>{PLAIN}", [PLAIN]),
+    (f"<html><body><article><p>{PLAIN}</p></article></body></html>{PLAIN}", [PLAIN] * 2)])
+def test_pages_without_body_or_head_end(trees, html, want):
+    p = Page(html)
+    seen = [t for i, t in p.flow if t and t.strip() and i and not p.hidden[i]]
+    assert seen == want
+    assert html_extract.extract_texts(trees, [html]) == ["\n\n".join(" ".join(t.split()) for t in want)]
+
+
 def test_language(spark):
     docs = spark.createDataFrame([(1, None, "en", 1), (2, "12 .", "en", 1), (3, "the house and the garden", "en", 1), (4, "das Haus und der Garten", "de", 1), (5, "the tree and the bird", None, 1), (None, "der Baum und das Tier", None, 1)], "doc_id long, text string, lang string, score int")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs).collect()}

@@ -10,6 +10,7 @@ import numpy as np
 # Element names of HTML by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style noscript template head title iframe svg math canvas object audio video select option textarea button datalist".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCK = set(("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
              "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul").split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -43,6 +44,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.groups, self.marks, self.hidden = ["#root"], [-1], [()], [None], [False]
         self.open = [0]
+        self.body, self.implied = 0, False
         self.flow: list[tuple[int, str | None]] = []  # texts of elements, and None where a block begins or ends
 
     def _push(self, tag, attrs):
@@ -69,7 +71,24 @@ class _Builder(HTMLParser):
             if tag in stops:
                 return
 
+    def _leave_head(self):
+        """What can't stand in an open head ends it."""
+        if self.tags[self.open[-1]] == "head":
+            self._close({"head"}, ())
+
+    def _imply_body(self):
+        self.body, self.implied = self._push("body", []), True
+        self.flow.append((self.body, None))
+        self.open.append(self.body)
+
     def handle_starttag(self, tag, attrs):
+        if tag in ("html", "head", "body"):
+            if self.implied and len(self.open) == 2 and self.open[1] == self.body:
+                self.open.pop()
+        elif tag not in IN_HEAD:
+            self._leave_head()
+            if len(self.open) == 1 and not self.body and "html" not in self.tags:
+                self._imply_body()
         if tag in BLOCK and tag != "body" and tag != "html":
             self._close({"p"}, SCOPE | {"td", "th", "li"})
         if tag in CLOSES:
@@ -80,6 +99,8 @@ class _Builder(HTMLParser):
         if tag == "body":
             self._close({"head"}, ())
         node = self._push(tag, attrs)
+        if tag == "body":
+            self.body, self.implied = node, False
         if tag in BLOCK:
             self.flow.append((node, None))
         if tag not in VOID:
@@ -94,6 +115,13 @@ class _Builder(HTMLParser):
         self._close({tag}, () if tag in BLOCK or tag in HIDDEN else BLOCK)
 
     def handle_data(self, data):
+        if data.strip():
+            self._leave_head()
+            if len(self.open) == 1:  # text beside all elements belongs to the body
+                if not self.body:
+                    self._imply_body()
+                self.flow += [(self.body, None), (self.body, data)]
+                return
         self.flow.append((self.open[-1], data))
 
 
@@ -102,7 +130,7 @@ class Page:
 
     def __init__(self, html: str):
         b = _Builder()
-        b.feed(html)
+        b.feed(html.removeprefix("\ufeff"))
         b.close()
         self.tags, self.parents, self.flow = b.tags, b.parents, b.flow
         self.groups, self.marks, self.hidden = b.groups, b.marks, b.hidden
