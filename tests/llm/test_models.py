@@ -64,6 +64,14 @@ def test_language(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language, "fit", lambda rows, *_: taken.append([lang for lang, _ in rows]))
+    docs = spark.range(900).selectExpr("if(id < 600, null, 7) doc_id", "if(id % 3 = 0, 'same words', concat('the house ', id)) text", "if(id % 2 = 0, 'en', 'de') lang")
+    language.train(docs, sample=100)
+    assert taken[0].count("en") == taken[0].count("de") == 100
+
+
 def test_held_out_accuracy(spark):
     lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()}
     rows = [r for r in language.op2_language(spark, SMALL).collect() if r["held_out"]]

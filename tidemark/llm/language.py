@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_slices
@@ -113,16 +113,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on at most ``sample`` rows of each language: those of the smallest hash of doc_id and text length,
+    """Fit on at most ``sample`` rows of each language: those of the smallest hash of doc_id and text,
     with a lang that isn't null and outside the held-out fold (a null doc_id isn't held out). The languages
-    are counted without reading texts; only packed presence vectors of the sample reach the driver."""
+    are counted without reading texts; a bound on the hash leaves about twice the sample, of which each
+    partition passes on at most ``sample`` rows of a language. Only packed presence vectors of the sample reach the driver."""
     open_rows = docs.filter(F.col("lang").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
     counts = {r["lang"]: r["count"] for r in open_rows.groupBy("lang").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) / 1e9
     take = F.lit(False)
     for lang, n in counts.items():
-        take = take | ((F.col("lang") == lang) & (place < min(1.0, sample / n)))
-    rows = open_rows.filter(take).select("lang", "text").mapInArrow(_presence_rows, "lang string, bits binary") if counts else None
+        take = take | ((F.col("lang") == lang) & (place < min(1.0, 2 * sample / n)))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = open_rows.filter(take).select("lang", "text", "doc_id", place.alias("place")).withColumn("first", first).filter(F.col("first") <= sample)
+    rows = chosen.select("lang", "text").mapInArrow(_presence_rows, "lang string, bits binary") if counts else None
     return fit(sorted((r["lang"], bytes(r["bits"])) for r in rows.collect()) if counts else [], landmarks, ridge)
 
 
