@@ -100,6 +100,22 @@ def test_vectors(spark):
     assert near_vectors.link_vectors(d.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    rng, fitted, init = np.random.default_rng(3), [], near_vectors.Quantiser.__init__
+
+    def recorded(self, sample, lists):
+        fitted.append((sample.shape, lists))
+        init(self, sample, lists)
+
+    monkeypatch.setattr(near_vectors.Quantiser, "__init__", recorded)
+    rows = [(i, rng.normal(size=3 if i % 4 else 4).tolist(), 1) for i in range(400)] + [(400, [1.0] * 9, 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.link_vectors(d).collect()}
+    assert sorted(fitted) == [((1, 9), 1), ((100, 4), 2), ((300, 3), 4)]
+    unit = {i: np.array(e) / np.linalg.norm(e) for i, e, _ in rows}
+    assert got == {i: sum(j != i and len(a) == len(b) and float(a @ b) >= 0.93 for j, b in unit.items()) for i, a in unit.items()}
+
+
 def test_archives(spark):
     long = "<p>" + "é" * 100 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(3, "http://a/\r\n3", long), (1, "http://a/1", long), (2, None, "short"), (5, "u", "short"), (4, "u", None), (None, "u", long), (6, "u", long)]

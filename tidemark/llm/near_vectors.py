@@ -98,10 +98,9 @@ def _units(batches):
                 [out.column(0), out.column(2), pa.array([u.tobytes() for u in unit[rows]], pa.binary())], names=["vec_id", "label", "unit"])
 
 
-def _deal(quantiser, reach: float):
+def _deal(quantisers, reach: float):
     """Each class as stored in its own list and as a query in every list that it has to look at."""
     def run(batches):
-        q = quantiser.value
         for b in batches:
             for at in range(0, len(b), 1024):
                 part = b.slice(at, 1024)
@@ -110,10 +109,12 @@ def _deal(quantiser, reach: float):
                 for size in np.unique(sizes):
                     rows = np.flatnonzero(sizes == size)
                     x = np.frombuffer(b"".join(units[i] for i in rows)).reshape(len(rows), -1)
-                    if x.shape[1] == q.centres.shape[1]:
+                    first, q = quantisers.value.get(int(size), (0, None))
+                    if q is not None:
                         cells = q.cells(x)
                         who, where = np.nonzero(q.probes(x, cells, reach))
-                    else:  # another dimension: one list of its own
+                        cells, where = cells + first, where + first
+                    else:  # a length that the sample doesn't have: one list of its own
                         cells = np.full(len(rows), -1 - size // 8)
                         who, where = np.arange(len(rows)), cells
                     take = np.concatenate([rows, rows[who]])
@@ -124,10 +125,9 @@ def _deal(quantiser, reach: float):
     return run
 
 
-def _compare(quantiser, reach: float, least: float):
+def _compare(quantisers, reach: float, least: float):
     """Of one block of stored vectors and one of queries: links of each query, and a forest of the linked."""
     def run(group: pa.Table) -> pa.Table:
-        q = quantiser.value
         cell = group.column("cell")[0].as_py()
         stored = group.column("stored").to_numpy()
         ids, copies = group.column("vec_id").to_numpy(), group.column("copies").to_numpy()
@@ -136,7 +136,9 @@ def _compare(quantiser, reach: float, least: float):
         q_ids, q_x = ids[~stored], x[~stored]
         if not len(s_ids) or not len(q_ids):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        first, q = quantisers.value.get(8 * x.shape[1], (0, None))
         if cell >= 0:
+            cell -= first
             codes, error = q.encode(s_x, cell)
         u, v, n, joined = [], [], [], np.arange(len(s_ids))
         for k, (qid, vector) in enumerate(zip(q_ids.tolist(), q_x, strict=True)):
@@ -176,12 +178,17 @@ def link_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     # the sample is those of the smallest hashes, whatever the table's order
     picked = classes.filter(F.expr(f"pmod(xxhash64(vec_id), 1000000) <= {math.ceil(2e6 * SAMPLE / n)}")).select("vec_id", "unit")
     picked = picked.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()
-    width = max(len(r["unit"]) for r in picked)
-    sample = np.stack([np.frombuffer(r["unit"]) for r in picked if len(r["unit"]) == width])
-    quantiser = spark.sparkContext.broadcast(Quantiser(sample, max(1, min(MOST_LISTS, int(math.sqrt(n) / 4)))))
+    by_size, quantisers, first = {}, {}, 0
+    for r in picked:
+        by_size.setdefault(len(r["unit"]), []).append(np.frombuffer(r["unit"]))
+    for size, sample in sorted(by_size.items()):  # vectors of each length have their own lists
+        q = Quantiser(np.stack(sample), max(1, min(MOST_LISTS, int(math.sqrt(n * len(sample) / len(picked)) / 4))))
+        quantisers[size] = (first, q)
+        first += len(q.centres)
+    quantisers = spark.sparkContext.broadcast(quantisers)
 
     dealt = classes.select("label", "unit", "vec_id", "copies").mapInArrow(
-        _deal(quantiser, reach), f"label {label_type}, unit binary, vec_id long, copies long, cell int, stored boolean")
+        _deal(quantisers, reach), f"label {label_type}, unit binary, vec_id long, copies long, cell int, stored boolean")
     dealt = staged(dealt, "lists")
     sizes = dealt.groupBy("label", "cell").agg(F.ceil(F.sum(F.col("stored").cast("int")) / BLOCK).cast("int").alias("sb"), F.ceil(F.sum((~F.col("stored")).cast("int")) / BLOCK).cast("int").alias("qb"))
     blocks = dealt.join(sizes.filter("sb > 0"), ["label", "cell"])
@@ -189,7 +196,7 @@ def link_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("stored"), F.col("qb")).otherwise(F.col("sb")) - 1)).alias("other")
     blocks = blocks.withColumn("own", own).select("*", other)
     blocks = blocks.select("label", "unit", "vec_id", "copies", "cell", "stored", F.when(F.col("stored"), F.col("own")).otherwise(F.col("other")).alias("s"), F.when(F.col("stored"), F.col("other")).otherwise(F.col("own")).alias("q"))
-    found = blocks.groupBy("label", "cell", "s", "q").applyInArrow(_compare(quantiser, reach, least), "u long, v long, n long")
+    found = blocks.groupBy("label", "cell", "s", "q").applyInArrow(_compare(quantisers, reach, least), "u long, v long, n long")
     found = staged(found, "links")
     # a repeated vec_id may stand for several classes; then its counts and components are shared
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))
