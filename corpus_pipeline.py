@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.language import keep_identified
-from tidemark.llm.ngram_join import keep_one
+from tidemark.llm.ngram_join import keep_one_row
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.secrets import redact_secrets
 
@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
-    return keep_one(docs)
+    return keep_one_row(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

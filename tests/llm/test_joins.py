@@ -51,6 +51,18 @@ def test_link_documents(spark):
     assert ngram_join.link_documents(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    other = "a wholly different text about ships and harbours far away from here and there"
+    rows = [*DOCS, (None, BODY * 3), (4, other), (None, other), (None, "null ids too " * 9), (None, "null ids too " * 9), (20, ""), (20, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.keep_one_row(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or -1, r["text"]) for r in kept.collect()), key=repr)
+    solo = [(7, ""), (8, None), (10, "  "), (11, "one two"), (13, "one two three"), (20, ""), (-1, None)]
+    assert got == sorted([(4, BODY * 3), (4, other), (-1, "null ids too " * 9), *solo], key=repr)
+    assert ngram_join.keep_one_row(docs.limit(0)).count() == 0
+
+
 def test_count_links(spark):
     words = [f"w{i}" for i in range(100)]
     texts = [(i, " ".join(words[i // 2 : i // 2 + 60])) for i in range(24)] + [(50, ""), (51, None), (52, ""), (53, "one two"), (54, "One  two"), (None, words[0])]

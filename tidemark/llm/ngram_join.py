@@ -308,6 +308,22 @@ def keep_one(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE
     return docs.join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null")).select(docs.columns)
 
 
+def keep_one_row(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
+    """``docs`` with one row of each component, rows with null or repeated doc_ids included: of the smallest doc_id
+    (null last), then of the smallest fingerprint of all its columns. Rows that are equal throughout are one.
+    Rows without words link with nothing and stay, each different one once."""
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    group = link_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), width, share).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies"))
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "copies")).alias("first")
+    kept = staged(group.join(ids, "_key").groupBy("component").agg(first).select("first._key", "first.copies"), "kept")
+    out = keyed.join(kept.filter("copies = 1"), "_key", "left_semi")
+    repeated = kept.filter("copies > 1")
+    if not repeated.isEmpty():
+        out = out.union(keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
+    return out.select(docs.columns)
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
