@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_date, parse_number
@@ -98,6 +100,14 @@ def key_candidates_orders(t):
     return keys.key_candidates(t("orders"), ["o_orderkey", "o_custkey", "o_orderdate"])
 
 
+_LINE_KEYS = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"]
+
+
+@query(_key_sql("lineitem", [s for n in (1, 2, 3) for s in combinations(_LINE_KEYS, n)]))
+def key_candidates_lineitem(t):
+    return keys.key_candidates(t("lineitem"), _LINE_KEYS, most=3)
+
+
 @query("SELECT n AS size, count(*) AS n_groups FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY 1")
 def near_key_lineitem(t):
     return keys.near_key(t("lineitem"), ["l_orderkey", "l_linenumber"])
