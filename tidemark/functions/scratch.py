@@ -11,9 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where the session names none (tests, a laptop) a temporary folder, one a session."""
+    """``spark.checkpoint.dir``. Only a local session (tests, a laptop) may leave it unset: it gets a temporary
+    folder; on a cluster that would be a folder of the driver alone, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         key = spark.sparkContext.applicationId
         if key not in _OWN:
             _OWN[key] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -31,4 +34,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables from :func:`staged` that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_staged_at", None)
+        if path:
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
