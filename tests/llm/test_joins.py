@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import decontaminate, near_vectors, ngram_join, warc
-from tidemark.llm.prefix_tree import PrefixTree
+from tidemark.llm.prefix_tree import PrefixTree, Sequence
 from tidemark.llm.shingles import shingle_sets
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,17 +21,31 @@ def roots(n, pairs):
     return at
 
 
-def test_prefix_tree_is_brute_force():
+def test_prefix_trees_are_brute_force():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 1 << 60, 60).astype(np.uint64))
     sets = []
-    for i in range(60):
+    for i in range(90):
         s = base[rng.random(len(base)) < 0.95] if i % 3 else np.unique(rng.integers(0, 1 << 60, rng.integers(1, 70)).astype(np.uint64))
-        sets.append((i, np.unique(np.concatenate([s, rng.integers(0, 1 << 60, rng.integers(0, 9)).astype(np.uint64)]))))
-    tree = PrefixTree(sets)
-    for _, p in sets:
-        want = [k for k, s in sets if 100 * len(np.intersect1d(s, p)) >= 80 * len(np.union1d(s, p))]
-        assert sorted(tree.links(p)) == sorted(want)
+        sets.append(np.unique(np.concatenate([s, rng.integers(0, 1 << 60, rng.integers(0, 9)).astype(np.uint64)])))
+    groups = np.arange(len(sets)) % 7
+    whole = [Sequence.whole(s) for s in sets]
+    tree, grouped = PrefixTree(whole), PrefixTree(whole, groups)
+    shared, n = np.unique(np.concatenate(sets), return_counts=True)
+    shared = shared[n > 1]
+    for most in (1, 3, 40):  # lists of the first shared codes propose every link
+        parts = []
+        for s in sets:
+            at = np.flatnonzero(np.isin(s, shared))
+            parts.append(Sequence(s[at[:most]], at[:most], len(s), int(at[most]) if len(at) > most else len(s)))
+        kept = [i for i, s in enumerate(parts) if len(s.codes)]
+        some = PrefixTree([parts[i] for i in kept])
+        for i, s in enumerate(sets):
+            want = {k for k, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t))}
+            assert set(tree.search(whole[i]).tolist()) == want
+            assert set(grouped.search(whole[i], group=groups[i]).tolist()) == {k for k in want if groups[k] != groups[i]}
+            if len(parts[i].codes):
+                assert want & set(kept) <= {kept[k] for k in some.search(parts[i]).tolist()}
 
 
 def test_shingles():

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import scratch_path, staged  # noqa: F401
+from tidemark.functions.scratch import discard, scratch_path, staged  # noqa: F401
 
 
 def text_slices(texts: pa.Array, limit: int = 2_000_000):

@@ -2,11 +2,13 @@
 
 Equal sets are one class at once. The shingles of all classes have one global order: rare ones by
 fingerprint, then the most frequent ones by their count over all documents. Two sets that link share
-a shingle among the first fifth of both, so only those first shingles are shuffled; a shingle that one
-set alone has is dropped. What is left proposes pairs: first each set with one leader per shingle, twice,
-then every pair of sets that share a shingle, pass the length and position bounds and aren't connected
-yet. Pairs are verified in bounded groups: the sets proposed to one probe are stored in a prefix tree and
-traversed with it. No group of near copies is expanded into pairs once it is connected.
+a shingle among the first fifth of both (the first ninth of the smaller one), so only those are
+shuffled, and those that one set alone has go no further; of shingles that the same sets have the
+first one stays. Sets first meet one leader for each shingle, which joins most copies. Then a prefix
+tree is built over the sets that share a first shingle, from that shingle on, and traversed with each
+of them: overlap is shared along a path, and a subtree is left once the remaining lengths can't reach
+0.8, or once it holds only the probe's own component. What the trees propose is verified by trees of
+whole sets. No group of near copies is expanded into pairs once it is connected.
 """
 
 from __future__ import annotations
@@ -15,20 +17,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, staged, text_slices
-from tidemark.llm.prefix_tree import PrefixTree
+from tidemark.llm.common import connected_components, discard, staged, text_slices
+from tidemark.llm.prefix_tree import SHARE, PrefixTree, Sequence
 from tidemark.llm.shingles import WIDTH, set_fingerprint, shingle_sets
 
-SHARE = (80, 100)
-STARS = 2  # rounds with leaders at most, before all remaining pairs are tried
+STARS = 4  # rounds with leaders at most, while they join much
 FREQUENT = 100_000  # shingles that are ordered by count; any order gives the same links
 CHUNK = 2_000_000  # shingles that a task counts at once
-GROUP = 256  # sets in one prefix tree
+LISTED = 32  # codes of a set that a tree for proposals holds; what follows is bounded by its length
+BLOCK, HOT = 4096, 1024  # sets in a block of trees, and of one code in one tree
+GROUP, GROUP_CODES = 256, 1 << 22  # sets, and their codes, in a tree that verifies
 _COLD = np.uint64((1 << 62) - 1)
-BITS = 4096  # of a set's parity bitmap
 
 
 class Order:
@@ -85,7 +87,8 @@ def _survey(width: int):
 
 
 def _first_codes(width: int, order, share):
-    """Rows (code, node, n, at) of the first codes of each set that the task hasn't seen yet."""
+    """Rows (code, node, place) of the first codes of each set that the task hasn't seen yet; ``place`` holds the
+    set's size and the code's place in it."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -103,64 +106,56 @@ def _first_codes(width: int, order, share):
                 if out:
                     lengths = np.array(lengths)
                     at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    yield pa.RecordBatch.from_arrays(
-                        [_long(np.concatenate(out).view(np.int64)), _long(np.repeat(nodes, lengths)), pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(at.astype(np.int32))],
-                        names=["code", "node", "n", "at"])
+                    place = np.repeat(np.array(sizes, np.int64) << 32, lengths) | at
+                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(out).view(np.int64)), _long(np.repeat(nodes, lengths)), _long(place)], names=["code", "node", "place"])
     return run
 
 
-def _parity(shingles: np.ndarray) -> np.ndarray:
-    """For each place whether an odd number of the set's shingles falls there: two bitmaps differ in at most
-    as many places as the sets differ in shingles."""
-    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _same_set(width: int):
-    """Keep the rows (node, text) whose text has that fingerprint, as a doc_id may be repeated with other texts;
-    with the set's bitmap."""
+def _whole_sets(width: int, order):
+    """Rows (node, n, codes) of the rows (node, text) whose text has that fingerprint, as a doc_id may be repeated
+    with other texts."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for s, e in text_slices(batch.column(1)):
-                part = batch.slice(s, e - s)
-                rows, sizes, bits = [], [], []
-                for i, (node, x) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True)):
+                nodes, sizes, codes = [], [], []
+                for node, x in zip(batch.column(0).slice(s, e - s).to_pylist(), shingle_sets(batch.column(1).slice(s, e - s), width), strict=True):
                     if node not in seen and set_fingerprint(x)[0] == node:
                         seen.add(node)
-                        rows.append(i)
+                        nodes.append(node)
                         sizes.append(len(x))
-                        bits.append(_parity(x))
-                kept = part.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "n", "bits"])
+                        codes.append(order.value.codes(x).tobytes())
+                yield pa.RecordBatch.from_arrays([_long(nodes), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary())], names=["node", "n", "codes"])
     return run
 
 
-def _verified(width: int, order, share):
+def _verified(share):
     def run(group: pa.Table) -> pa.Table:
-        texts = group.column("text").combine_chunks()
-        codes = []
-        for s, e in text_slices(texts):
-            codes += [order.value.codes(x) for x in shingle_sets(texts.slice(s, e - s), width)]
-        probe, stored = group.column("probe")[0].as_py(), {}
-        own = None
-        for node, c in zip(group.column("node").to_pylist(), codes, strict=True):
-            if node == probe:
-                own = c
-            else:
-                stored[node] = c
-        hits = PrefixTree(list(stored.items())).links(own, share) if stored and own is not None else []
-        return pa.table({"u": _long([probe] * len(hits)), "v": _long(hits)})
+        probe, nodes = group.column("probe")[0].as_py(), group.column("node").to_numpy()
+        sets = [Sequence.whole(np.frombuffer(c, np.uint64)) for c in group.column("codes").to_pylist()]
+        own = np.flatnonzero(nodes == probe)
+        others = np.flatnonzero(nodes != probe)
+        hits = others[:0]
+        if len(own) and len(others):
+            hits = others[PrefixTree([sets[i] for i in others]).search(sets[own[0]], share)]
+        return pa.table({"u": _long([probe] * len(hits)), "v": _long(nodes[hits])})
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, order, share) -> DataFrame:
-    """Links ``u, v`` among ``pairs`` (probe, node). A probe's candidates are dealt to groups of bounded size."""
-    per = pairs.groupBy("probe").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+def _verify(pairs: DataFrame, sets: DataFrame, share) -> DataFrame:
+    """Links ``u, v`` among ``pairs`` (probe, node, n: codes of node). A probe's candidates are dealt to groups of
+    bounded size, each with a tree of their whole sets."""
+    per = pairs.groupBy("probe").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_CODES)).alias("parts"))
     dealt = pairs.join(per, "probe").select("probe", F.expr("pmod(xxhash64(node, probe), parts)").alias("part"), "node")
     probes = per.select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("probe").alias("node"))
-    rows = dealt.union(probes).join(texts.select("node", "text"), "node")
-    return rows.groupBy("probe", "part").applyInArrow(_verified(width, order, share), "u long, v long")
+    rows = dealt.union(probes).join(sets.select("node", "codes"), "node")
+    return rows.groupBy("probe", "part").applyInArrow(_verified(share), "u long, v long")
+
+
+def _may_be_smaller(share) -> Column:
+    """Whether the smaller set of a link can have its first common code at this place: what it has from there on
+    is at least what a set of its own size needs."""
+    return F.expr(f"{sum(share)} * (n - at) >= {2 * share[0]} * n")
 
 
 def _near(share) -> str:
@@ -178,24 +173,67 @@ def _star_pairs(hits: DataFrame, turn: int, share) -> DataFrame:
     early = F.col("at") / F.col("n") if turn % 2 == 0 else F.lit(0.0)
     leaders = hits.groupBy("code", "size").agg(F.min(F.struct(early.alias("e"), F.xxhash64("component", F.lit(turn)).alias("h"), "node", "n", "at", "component")).alias("y")).select("code", "size", "y.*")
     near = hits.alias("x").join(leaders.alias("y"), F.expr(f"x.code = y.code and x.size = y.size and x.component <> y.component and {_near(share)}"))
-    votes = near.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("probe")).agg(F.count("*").alias("n"))
-    return votes.groupBy("node").agg(F.max(F.struct("n", "probe")).alias("best")).select("best.probe", "node")
-
-
-def _possible(pairs: DataFrame, texts: DataFrame, share) -> DataFrame:
-    """The pairs whose bitmaps don't differ in more places than linked sets may differ in shingles."""
-    p, q = share
-    bits = texts.select("node", "n", "bits")
-    both = pairs.join(bits, "node").join(bits.select(F.col("node").alias("probe"), F.col("n").alias("m"), F.col("bits").alias("other")), "probe")
-    apart = F.aggregate(F.zip_with("bits", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    # the overlap is at least p / (p + q) of both sizes together
-    return both.filter(apart * (p + q) <= (F.col("n") + F.col("m")) * (q - p)).select("probe", "node")
+    votes = near.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("probe")).agg(F.count("*").alias("votes"), F.max("x.n").alias("n"))
+    return votes.groupBy("node").agg(F.max(F.struct("votes", "probe", "n")).alias("best")).select("best.probe", "node", "best.n")
+
+
+def _listed(hits: DataFrame) -> DataFrame:
+    """``hits`` with the set's next shared codes (this one first), their places, and where the list ends."""
+    ahead = Window.partitionBy("node").orderBy("at")
+    some = ahead.rowsBetween(0, LISTED - 1)
+    p, q = SHARE
+    first = F.expr(f"n - cast(ceil(n * {p} / {q}) as int) + 1")
+    return hits.withColumns({"codes": F.collect_list("code").over(some), "places": F.collect_list("at").over(some), "end": F.coalesce(F.lead("at", LISTED).over(ahead), first)})
+
+
+def _blocks(entries: DataFrame, share) -> DataFrame:
+    """``entries`` dealt to blocks in which the trees of their codes are built: each entry is stored and probes. A
+    code of more than ``HOT`` entries is cut into chunks, and each chunk of probes meets each chunk of stored ones."""
+    per = staged(entries.groupBy("code").agg(F.ceil(F.count("*") / HOT).cast("int").alias("chunks")), "chunks")
+    many = max(1, -(-entries.count() // BLOCK))
+    dealt = entries.join(per, "code").withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")), "small": _may_be_smaller(share)})
+    cold = dealt.filter("chunks = 1").withColumns({"block": F.pmod(F.xxhash64("code"), F.lit(many)), "stored": F.lit(True), "probes": F.col("small")})
+    hot = dealt.filter("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    stored = hot.withColumns({"block": F.xxhash64("code", "chunk", F.col("other").cast("long")), "stored": F.lit(True), "probes": F.lit(False)})
+    probing = hot.filter("small").withColumns({"block": F.xxhash64("code", F.col("other").cast("long"), "chunk"), "stored": F.lit(False), "probes": F.lit(True)})
+    names = ["block", "code", "node", "n", "component", "codes", "places", "end", "stored", "probes"]
+    return cold.select(names).union(stored.select(names)).union(probing.select(names))
+
+
+def _proposed(share):
+    """Pairs (probe, node, n) of a block: the probe isn't larger, and the components differ."""
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        code, node, n, component, stored, probes, end = (group.column(c).to_numpy() for c in ("code", "node", "n", "component", "stored", "probes", "end"))
+
+        def lists(name, kind):
+            column = group.column(name).chunk(0)
+            flat, cuts = column.flatten().to_numpy().astype(kind), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            return [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        sequences = [Sequence(c, a, int(m), int(z)) for c, a, m, z in zip(lists("codes", np.uint64), lists("places", np.int64), n, end, strict=True)]
+        order = np.argsort(code, kind="stable")
+        cuts = np.flatnonzero(np.diff(code[order])) + 1
+        u, v = [], []
+        for rows in np.split(order, cuts):
+            held, asking = rows[stored[rows]], rows[probes[rows]]
+            if len(held) and len(asking):
+                tree = PrefixTree([sequences[i] for i in held], component[held])
+                for i in asking:
+                    near = held[tree.search(sequences[i], share, component[i])]
+                    near = near[(n[near] > n[i]) | ((n[near] == n[i]) & (node[near] > node[i]))]
+                    u.append(np.full(len(near), i))
+                    v.append(near)
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+        return pa.table({"probe": _long(node[u]), "node": _long(node[v]), "n": pa.array(n[v], pa.int32())})
+    return run
 
 
-def _other_pairs(hits: DataFrame, share) -> DataFrame:
-    """All pairs of sets with a common code that aren't connected; the smaller set probes."""
-    near = hits.alias("x").join(hits.alias("y"), F.expr(f"x.code = y.code and x.component <> y.component and (x.n < y.n or (x.n = y.n and x.node < y.node)) and {_near(share)}"))
-    return near.select(F.col("x.node").alias("probe"), F.col("y.node").alias("node")).distinct()
+def _tree_pairs(live: DataFrame, hits: DataFrame, share) -> DataFrame:
+    """What the trees over the ``live`` codes propose."""
+    entries = staged(_listed(hits).join(live.select("code", "node", "component"), ["code", "node"]), "entries")
+    found = _blocks(entries, share).groupBy("block").applyInArrow(_proposed(share), "probe long, node long, n int")
+    return found.distinct()
 
 
 def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -215,9 +253,26 @@ def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return moved.union(low.join(labels.select(F.col("node").alias("u")), "u", "left_anti").toDF("node", "component"))
 
 
+def _shared(first: DataFrame) -> DataFrame:
+    """Rows (code, node, n, at) of the codes that two sets have. The frequent ones are taken to be shared and are
+    dealt to many tasks; of the others none has many sets."""
+    frequent = F.col("code") > int(_COLD)
+    own = Window.partitionBy("code", F.when(frequent, F.pmod("node", F.lit(256))).otherwise(0))
+    pairs = first.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).filter(frequent | (F.col("lo") != F.col("hi")))
+    return pairs.select("code", "node", F.shiftright("place", 32).cast("int").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("at"))
+
+
+def _kept(hits: DataFrame, share) -> DataFrame:
+    """The hits whose code can be some link's first common one: two sets have it, one of them early enough, and
+    no earlier code is had by the same sets."""
+    per = hits.groupBy("code").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.max(_may_be_smaller(share)).alias("small"))
+    first = per.filter("sets > 1 and small").groupBy("sets", "x", "y").agg(F.min("code").alias("code"))
+    return hits.join(first.select("code"), "code")
+
+
 def _prepared(docs: DataFrame, width: int, share):
-    """Rows with set sizes and fingerprints, classes of equal sets, hits of shared first codes, one text for each
-    set that has hits, and the order."""
+    """Rows with set sizes and fingerprints, classes of equal sets, hits of shared first codes, those of them that
+    propose pairs, and the whole sets of all that have such hits."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = staged(docs.mapInArrow(_survey(width), "doc_id long, n long, a long, b long, is_doc boolean"), "survey")
@@ -227,17 +282,15 @@ def _prepared(docs: DataFrame, width: int, share):
     order = spark.sparkContext.broadcast(Order(frequent))
 
     known = docs.filter("doc_id is not null")
-    first = staged(known.select("text").mapInArrow(_first_codes(width, order, share), "code long, node long, n int, at int"), "codes")
-    # frequent codes are taken to be shared; no other one has many sets
-    own = Window.partitionBy("code")
-    rare = first.filter(F.col("code") <= int(_COLD)).withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).filter("lo <> hi").drop("lo", "hi")
-    hits = staged(rare.union(first.filter(F.col("code") > int(_COLD))), "hits")
-
+    first = known.select("text").mapInArrow(_first_codes(width, order, share), "code long, node long, place long")
+    hits = staged(_shared(first).dropDuplicates(["code", "node"]), "hits")
+    kept = staged(_kept(hits, share), "kept")
     classes = staged(rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")), "classes")
-    needed = hits.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id")
-    texts = needed.join(known, "doc_id").select("node", "text").mapInArrow(_same_set(width), "node long, text string, n int, bits array<long>")
-    texts = staged(texts, "texts")
-    return rows, classes, hits, texts, order
+    # staged, so that Spark knows its size and moves the texts only if this is too large to be sent to them
+    needed = staged(kept.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id"), "needed")
+    sets = staged(needed.join(known, "doc_id").select("node", "text").mapInArrow(_whole_sets(width, order), "node long, n int, codes binary"), "sets")
+    discard(needed)
+    return rows, classes, hits, kept, sets
 
 
 def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -248,29 +301,30 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     empty set and is alone. A row with a null doc_id gets its set's size and a null component and links
     nothing. Repeated rows give repeated results. Other columns are ignored. An empty table gives no rows.
     """
-    rows, classes, hits, texts, order = _prepared(docs, width, share)
+    rows, classes, hits, kept, sets = _prepared(docs, width, share)
 
     labels, links, star, turn = None, None, True, 0
     while True:
-        if labels is None:
-            live = hits.withColumn("component", F.col("node"))
-        else:  # codes of one component alone have nothing left to link
-            live = hits.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        live = kept.withColumn("component", F.col("node"))
+        if labels is not None:  # codes of one component alone have nothing left to link
+            live = kept.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = live.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("code")
             live = staged(live.join(mixed, "code"), "live")
-        pairs = _star_pairs(live, turn, share) if star else _other_pairs(live, share)
-        pairs = staged(_possible(pairs, texts, share), "pairs")
-        found = None if pairs.isEmpty() else staged(_verify(pairs, texts, width, order, share), "links")
-        more = found is not None and not found.isEmpty()
-        if more:
+        pairs = staged(_star_pairs(live, turn, share) if star else _tree_pairs(live, hits, share), "pairs")
+        tried = pairs.count()
+        found = staged(_verify(pairs, sets, share), "links") if tried else None
+        joined = found.count() if tried else 0
+        discard(pairs, live)
+        if joined:
             links = found if links is None else links.union(found)
         if not star:
             break
         turn += 1
-        star = more and turn < STARS
-        if more:
-            labels = staged(_labels(links, labels), "labels")
+        star = turn < STARS and 10 * joined > tried
+        if joined:
+            labels = staged(_labels(found, labels), "labels")
     components = None if links is None else staged(connected_components(links), "components")
+    discard(hits, kept, sets)
 
     label = classes.select("a", "b", "doc_id")
     if components is None:
@@ -291,9 +345,9 @@ def count_links(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SH
     links between different sets; classes of equal sets only weigh. Rows with an empty set or a null doc_id have
     and give no links.
     """
-    rows, classes, hits, texts, order = _prepared(docs, width, share)
-    pairs = staged(_possible(_other_pairs(hits.withColumn("component", F.col("node")), share), texts, share), "pairs")
-    links = staged(_verify(pairs, texts, width, order, share), "links")
+    rows, classes, hits, kept, sets = _prepared(docs, width, share)
+    pairs = staged(_tree_pairs(kept.withColumn("component", F.col("node")), hits, share), "pairs")
+    links = staged(_verify(pairs, sets, share), "links")
     sizes = rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.count("*").alias("copies"))
     others = links.union(links.select("v", "u")).join(sizes.select(F.col("a").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
     per = sizes.join(others, F.col("a") == F.col("u"), "left").select("a", "b", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
