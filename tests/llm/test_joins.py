@@ -144,10 +144,13 @@ def test_vectors_of_several_lengths(spark, monkeypatch):
 
 def test_archives(spark):
     long = "<p>" + "é" * 100 + "\r\n\r\nWARC/1.1\r\n</p>"
-    rows = [(3, "http://a/\r\n3", long), (1, "http://a/1", long), (2, None, "short"), (5, "u", "short"), (4, "u", None), (None, "u", long), (6, "u", long)]
+    rows = [(3, "http://a/\r\n3", long), (3, None, long), (1, "http://a/1", long), (2, None, "short"), (5, "u", "short"), (4, "u", None), (None, "u", long), (6, "u", long)]
     path = warc.scratch_path(spark, "test")
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
-    got = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    records = warc.read_archives(spark, path).collect()
+    assert len(records) == len(rows) and sum(r["record_type"] == "revisit" for r in records) == 3
+    assert spark.read.text(path, lineSep="\r\n").filter("value = 'WARC-Type: warcinfo'").count() == 1
+    got = {r["page_id"]: r for r in records}
     assert len(got) == 7 and {k: v["refers_to"] for k, v in got.items()} == {3: 1, 1: None, 2: None, 5: None, 4: None, None: None, 6: 1}
     assert got[3]["payload_bytes"] == len(long.encode()) and got[3]["record_type"] == "revisit" and got[4]["payload_bytes"] == 0
     assert pq.read_table(f"{SMALL}/pages.parquet").num_rows > 0

@@ -9,17 +9,18 @@ their Content-Length.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch_path
+from tidemark.llm.common import scratch_path, staged
 
 LEAST_BYTES = 100
 FILE_BYTES = 32 << 20  # payload of an archive file, about
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2025-01-01T00:00:00Z"
 
 
 def payload_headers(pages: DataFrame) -> DataFrame:
@@ -29,13 +30,13 @@ def payload_headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve_revisits(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """``page_id, digest, original, original_url`` of the records that revisit another: of those with an equal
+    """``page_id, url, digest, original, original_url`` of the records that revisit another: of those with an equal
     digest and at least ``least`` bytes all but those of the smallest page_id. A null page_id is never an
     original and never revisits."""
     big = headers.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "url", "digest")
     first = big.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("o"), F.max("page_id").alias("last")).filter("o.page_id < last")
     rest = big.join(first, "digest").filter("page_id > o.page_id")
-    return rest.select("page_id", "digest", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url")).distinct()
+    return rest.select("page_id", "url", "digest", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url")).distinct()
 
 
 def _record_id(page: Column, digest: Column) -> Column:
@@ -43,12 +44,19 @@ def _record_id(page: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *(x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ((F.lit("-"), F.substring(h, a, n)) if a > 1 else (F.substring(h, a, n),))), F.lit(">"))
 
 
-def warc_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """One ``value`` per row of ``pages``: a whole record without the two line breaks at its end. Line breaks in
-    a url become %0D and %0A."""
+def _dealt(rows: DataFrame, files: int) -> DataFrame:
+    return rows.withColumn("target", F.coalesce("url", F.lit(""))).repartition(files, "page_id", "digest", "target")
+
+
+def warc_records(pages: DataFrame, files: int, least: int = LEAST_BYTES, date: str | None = None) -> DataFrame:
+    """One ``value`` per row of ``pages``: a whole record without the two line breaks at its end, dealt to ``files``
+    partitions; the first one of each has a warcinfo record in front. Payloads are shuffled once: the revisits are
+    dealt alike, by page, digest and url, and joined there. Line breaks in a url become %0D and %0A; ``date`` is
+    that of the run unless it is given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     all_ = payload_headers(pages)
-    seen = resolve_revisits(all_.select("page_id", "url", "bytes", "digest"), least)
-    p = all_.join(seen, ["page_id", "digest"], "left")
+    seen = staged(resolve_revisits(all_.select("page_id", "url", "bytes", "digest"), least), "revisits")
+    p = _dealt(all_, files).join(_dealt(seen, files).drop("url").hint("merge"), ["page_id", "digest", "target"], "left")
 
     def line(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise("")
@@ -61,17 +69,22 @@ def warc_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     size = F.octet_length(http) + F.when(again, 0).otherwise(F.col("bytes"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
-        line("WARC-Date", F.lit(DATE)), line("WARC-Target-URI", clean(F.col("url"))), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", clean(F.col("url"))), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("X-Page-Id", F.col("page_id")), line("WARC-Profile", F.when(again, PROFILE)), line("WARC-Refers-To", F.when(again, _record_id(F.col("original"), F.col("digest")))),
         line("WARC-Refers-To-Target-URI", F.when(again, clean(F.col("original_url")))), line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", size), F.lit("\r\n"))
-    return p.select(F.concat(head, http, F.when(again, "").otherwise(F.col("payload"))).alias("value"))
+    place = F.monotonically_increasing_id()
+    about = "software: tidemark\r\nformat: WARC File Format 1.1\r\n"
+    info = F.concat(F.lit(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: "), _record_id(F.spark_partition_id(), F.lit(uuid.uuid4().hex)),
+                    F.lit(f"\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n{about}\r\n\r\n"))
+    start = F.when(place.bitwiseAND(F.lit((1 << 33) - 1)) == 0, info).otherwise("")
+    return p.select(F.concat(start, head, http, F.when(again, "").otherwise(F.col("payload"))).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Write a record for each row of ``pages`` to files of about ``file_bytes``; an empty table writes no record."""
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    warc_records(pages, least).repartition(files).write.option("lineSep", "\r\n\r\n").text(path)
+    warc_records(pages, files, least).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def _read(batches):
@@ -87,6 +100,9 @@ def _read(batches):
                 head = dict(x.split(": ", 1) for x in lines[1:])
                 body = end + 4
                 stop = body + int(head["Content-Length"])
+                if head["WARC-Type"] == "warcinfo":
+                    at = stop + 4
+                    continue
                 payload = data[data.index(b"\r\n\r\n", body, stop) + 4 : stop]
                 page, again = head.get("X-Page-Id"), head["WARC-Type"] == "revisit"
                 digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
