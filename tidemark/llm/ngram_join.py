@@ -30,7 +30,10 @@ CHUNK = 2_000_000  # shingles that a task counts at once
 LISTED = 32  # codes of a set that a tree for proposals holds; what follows is bounded by its length
 BLOCK, HOT = 4096, 1024  # sets in a block of trees, and of one code in one tree
 GROUP, GROUP_CODES = 256, 1 << 22  # sets, and their codes, in a tree that verifies
+SPREAD = 256  # keys over which the sets of a frequent shingle are dealt
+MOST_SENT = 1_000_000  # doc_ids that may be sent to all tasks; the texts are shuffled to more of them
 _COLD = np.uint64((1 << 62) - 1)
+_FIRST = 1 << 62  # code of the rarest frequent shingle
 
 
 class Order:
@@ -87,8 +90,8 @@ def _survey(width: int):
 
 
 def _first_codes(width: int, order, share):
-    """Rows (code, node, place) of the first codes of each set that the task hasn't seen yet; ``place`` holds the
-    set's size and the code's place in it."""
+    """Rows (key, node, place) of the first codes of each set that the task hasn't seen yet; ``key`` is the code, of
+    which a frequent one has ``SPREAD``; ``place`` holds the set's size and the code's place in it."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -107,7 +110,9 @@ def _first_codes(width: int, order, share):
                     lengths = np.array(lengths)
                     at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                     place = np.repeat(np.array(sizes, np.int64) << 32, lengths) | at
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(out).view(np.int64)), _long(np.repeat(nodes, lengths)), _long(place)], names=["code", "node", "place"])
+                    codes, owner = np.concatenate(out).view(np.int64), np.repeat(nodes, lengths)
+                    keys = np.where(codes > int(_COLD), _FIRST + (codes - _FIRST) * SPREAD + (owner & (SPREAD - 1)), codes)
+                    yield pa.RecordBatch.from_arrays([_long(keys), _long(owner), _long(place)], names=["key", "node", "place"])
     return run
 
 
@@ -177,13 +182,17 @@ def _star_pairs(hits: DataFrame, turn: int, share) -> DataFrame:
     return votes.groupBy("node").agg(F.max(F.struct("votes", "probe", "n")).alias("best")).select("best.probe", "node", "best.n")
 
 
-def _listed(hits: DataFrame) -> DataFrame:
-    """``hits`` with the set's next shared codes (this one first), their places, and where the list ends."""
+def _listed(hits: DataFrame, live: DataFrame) -> DataFrame:
+    """The ``live`` hits (code, node, component) with the set's next shared codes (this one first), their places,
+    and where the list ends."""
     ahead = Window.partitionBy("node").orderBy("at")
     some = ahead.rowsBetween(0, LISTED - 1)
     p, q = SHARE
     first = F.expr(f"n - cast(ceil(n * {p} / {q}) as int) + 1")
-    return hits.withColumns({"codes": F.collect_list("code").over(some), "places": F.collect_list("at").over(some), "end": F.coalesce(F.lead("at", LISTED).over(ahead), first)})
+    of_live = live.select("code", "node", "component")
+    rows = hits.join(live.select("node").distinct(), "node", "left_semi").join(of_live, ["code", "node"], "left")
+    rows = rows.withColumns({"codes": F.collect_list("code").over(some), "places": F.collect_list("at").over(some), "end": F.coalesce(F.lead("at", LISTED).over(ahead), first)})
+    return rows.filter("component is not null")
 
 
 def _blocks(entries: DataFrame, share) -> DataFrame:
@@ -231,7 +240,7 @@ def _proposed(share):
 
 def _tree_pairs(live: DataFrame, hits: DataFrame, share) -> DataFrame:
     """What the trees over the ``live`` codes propose."""
-    entries = staged(_listed(hits).join(live.select("code", "node", "component"), ["code", "node"]), "entries")
+    entries = staged(_listed(hits, live), "entries")
     found = _blocks(entries, share).groupBy("block").applyInArrow(_proposed(share), "probe long, node long, n int")
     return found.distinct()
 
@@ -256,10 +265,12 @@ def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _shared(first: DataFrame) -> DataFrame:
     """Rows (code, node, n, at) of the codes that two sets have. The frequent ones are taken to be shared and are
     dealt to many tasks; of the others none has many sets."""
-    frequent = F.col("code") > int(_COLD)
-    own = Window.partitionBy("code", F.when(frequent, F.pmod("node", F.lit(256))).otherwise(0))
+    frequent = F.col("key") >= _FIRST
+    own = Window.partitionBy("key")
     pairs = first.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).filter(frequent | (F.col("lo") != F.col("hi")))
-    return pairs.select("code", "node", F.shiftright("place", 32).cast("int").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("at"))
+    once = pairs.dropDuplicates(["key", "node"])  # a set may have been seen by several tasks
+    code = F.when(frequent, F.lit(_FIRST) + F.shiftright(F.col("key") - _FIRST, 8)).otherwise(F.col("key")).cast("long")
+    return once.select(code.alias("code"), "node", F.shiftright("place", 32).cast("int").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("at"))
 
 
 def _kept(hits: DataFrame, share) -> DataFrame:
@@ -282,13 +293,13 @@ def _prepared(docs: DataFrame, width: int, share):
     order = spark.sparkContext.broadcast(Order(frequent))
 
     known = docs.filter("doc_id is not null")
-    first = known.select("text").mapInArrow(_first_codes(width, order, share), "code long, node long, place long")
-    hits = staged(_shared(first).dropDuplicates(["code", "node"]), "hits")
+    first = known.select("text").mapInArrow(_first_codes(width, order, share), "key long, node long, place long")
+    hits = staged(_shared(first), "hits")
     kept = staged(_kept(hits, share), "kept")
     classes = staged(rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")), "classes")
-    # staged, so that Spark knows its size and moves the texts only if this is too large to be sent to them
     needed = staged(kept.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id"), "needed")
-    sets = staged(needed.join(known, "doc_id").select("node", "text").mapInArrow(_whole_sets(width, order), "node long, n int, codes binary"), "sets")
+    sent = F.broadcast(needed) if needed.count() <= MOST_SENT else needed
+    sets = staged(known.join(sent, "doc_id").select("node", "text").mapInArrow(_whole_sets(width, order), "node long, n int, codes binary"), "sets")
     discard(needed)
     return rows, classes, hits, kept, sets
 

@@ -84,7 +84,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, file_b
     """Write a record for each row of ``pages`` to files of about ``file_bytes``; an empty table writes no record."""
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    warc_records(pages, files, least).write.option("lineSep", "\r\n\r\n").text(path)
+    warc_records(pages, files, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def _read(batches):
