@@ -7,13 +7,15 @@ shuffled, and those that one set alone has go no further; of shingles that the s
 first one stays. Sets first meet one leader for each shingle, which joins most copies. Then a prefix
 tree is built over the sets that share a first shingle, from that shingle on, and traversed with each
 of them: overlap is shared along a path, and a subtree is left once the remaining lengths can't reach
-0.8, or once it holds only the probe's own component. What the trees propose is verified by trees of
-whole sets. No group of near copies is expanded into pairs once it is connected.
+0.8, or once it holds only the probe's own component. What is proposed and not ruled out by parity
+bitmaps is verified by trees of whole sets. No group of near copies is expanded into pairs once it is
+connected.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from tidemark.llm.common import connected_components, discard, staged, text_slic
 from tidemark.llm.prefix_tree import SHARE, PrefixTree, Sequence
 from tidemark.llm.shingles import WIDTH, set_fingerprint, shingle_sets
 
-STARS = 4  # rounds with leaders at most, while they join much
+STARS = 2  # rounds with leaders at most
 FREQUENT = 100_000  # shingles that are ordered by count; any order gives the same links
 CHUNK = 2_000_000  # shingles that a task counts at once
 LISTED = 32  # codes of a set that a tree for proposals holds; what follows is bounded by its length
@@ -32,6 +34,7 @@ BLOCK, HOT = 4096, 1024  # sets in a block of trees, and of one code in one tree
 GROUP, GROUP_CODES = 256, 1 << 22  # sets, and their codes, in a tree that verifies
 SPREAD = 256  # keys over which the sets of a frequent shingle are dealt
 MOST_SENT = 1_000_000  # doc_ids that may be sent to all tasks; the texts are shuffled to more of them
+BITS = 4096  # of a set's parity bitmap
 _COLD = np.uint64((1 << 62) - 1)
 _FIRST = 1 << 62  # code of the rarest frequent shingle
 
@@ -116,28 +119,73 @@ def _first_codes(width: int, order, share):
     return run
 
 
-def _whole_sets(width: int, order):
-    """Rows (node, n, codes) of the rows (node, text) whose text has that fingerprint, as a doc_id may be repeated
-    with other texts."""
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """For each place whether an odd number of the set's shingles falls there: two bitmaps differ in at most
+    as many places as the sets differ in shingles."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sets(width: int, made):
+    """Rows (node, n, what ``made`` gives for the set) of the rows (node, text) whose text has that fingerprint, as a
+    doc_id may be repeated with other texts."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for s, e in text_slices(batch.column(1)):
-                nodes, sizes, codes = [], [], []
+                nodes, sizes, out = [], [], []
                 for node, x in zip(batch.column(0).slice(s, e - s).to_pylist(), shingle_sets(batch.column(1).slice(s, e - s), width), strict=True):
                     if node not in seen and set_fingerprint(x)[0] == node:
                         seen.add(node)
                         nodes.append(node)
                         sizes.append(len(x))
-                        codes.append(order.value.codes(x).tobytes())
-                yield pa.RecordBatch.from_arrays([_long(nodes), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary())], names=["node", "n", "codes"])
+                        out.append(made(x))
+                yield pa.RecordBatch.from_arrays([_long(nodes), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["node", "n", "made"])
     return run
 
 
+@dataclass
+class _Texts:
+    """The documents (doc_id, text), and which of them has the set of a node (node, doc_id)."""
+
+    docs: DataFrame
+    places: DataFrame
+    width: int
+    order: object
+
+    def sets(self, nodes: DataFrame | None, made) -> DataFrame:
+        """``node, n, made`` of those nodes (None: all). Their ids are sent to the texts while they are few."""
+        places = self.places if nodes is None else staged(self.places.join(nodes, "node", "left_semi"), "places")
+        sent = F.broadcast(places) if places.count() <= MOST_SENT else places
+        return self.docs.join(sent, "doc_id").select("node", "text").mapInArrow(_sets(self.width, made), "node long, n int, made array<long>")
+
+    def whole(self, nodes: DataFrame) -> DataFrame:
+        order = self.order
+        return self.sets(nodes, lambda x: order.value.codes(x).view(np.int64)).select("node", F.col("made").alias("codes"))
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, share) -> DataFrame:
+    """The pairs whose bitmaps don't differ in more places than linked sets may differ in shingles."""
+    p, q = share
+    bits = bits.select("node", F.col("n").alias("m"), F.col("made").alias("bits"))
+    both = pairs.join(bits, "node").join(bits.toDF("probe", "k", "other"), "probe")
+    apart = F.aggregate(F.zip_with("bits", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    # the overlap is at least p / (p + q) of both sizes together
+    return both.filter(apart * (p + q) <= (F.col("m") + F.col("k")) * (q - p)).select("probe", "node", "n")
+
+
+def _split(group: pa.Table, name: str, kind) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    column = group.column(name).chunk(0)
+    flat, cuts = column.flatten().to_numpy().astype(kind, copy=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    return [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _verified(share):
     def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
         probe, nodes = group.column("probe")[0].as_py(), group.column("node").to_numpy()
-        sets = [Sequence.whole(np.frombuffer(c, np.uint64)) for c in group.column("codes").to_pylist()]
+        sets = [Sequence.whole(c) for c in _split(group, "codes", np.uint64)]
         own = np.flatnonzero(nodes == probe)
         others = np.flatnonzero(nodes != probe)
         hits = others[:0]
@@ -147,13 +195,14 @@ def _verified(share):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, share) -> DataFrame:
+def _verify(pairs: DataFrame, texts: _Texts, share) -> DataFrame:
     """Links ``u, v`` among ``pairs`` (probe, node, n: codes of node). A probe's candidates are dealt to groups of
     bounded size, each with a tree of their whole sets."""
     per = pairs.groupBy("probe").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_CODES)).alias("parts"))
     dealt = pairs.join(per, "probe").select("probe", F.expr("pmod(xxhash64(node, probe), parts)").alias("part"), "node")
     probes = per.select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("probe").alias("node"))
-    rows = dealt.union(probes).join(sets.select("node", "codes"), "node")
+    nodes = pairs.select("node").union(pairs.select("probe")).distinct()
+    rows = dealt.union(probes).join(texts.whole(nodes), "node")
     return rows.groupBy("probe", "part").applyInArrow(_verified(share), "u long, v long")
 
 
@@ -214,13 +263,7 @@ def _proposed(share):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         code, node, n, component, stored, probes, end = (group.column(c).to_numpy() for c in ("code", "node", "n", "component", "stored", "probes", "end"))
-
-        def lists(name, kind):
-            column = group.column(name).chunk(0)
-            flat, cuts = column.flatten().to_numpy().astype(kind), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-            return [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-
-        sequences = [Sequence(c, a, int(m), int(z)) for c, a, m, z in zip(lists("codes", np.uint64), lists("places", np.int64), n, end, strict=True)]
+        sequences = [Sequence(c, a, int(m), int(z)) for c, a, m, z in zip(_split(group, "codes", np.uint64), _split(group, "places", np.int64), n, end, strict=True)]
         order = np.argsort(code, kind="stable")
         cuts = np.flatnonzero(np.diff(code[order])) + 1
         u, v = [], []
@@ -245,23 +288,6 @@ def _tree_pairs(live: DataFrame, hits: DataFrame, share) -> DataFrame:
     return found.distinct()
 
 
-def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``node, component`` after ``links``: equal only for nodes that are connected; connected ones may still
-    differ. Components of ``labels`` are contracted, so a few rounds join long chains too."""
-    if labels is not None:
-        for c in ("u", "v"):
-            links = links.join(labels.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
-    links = links.select("u", "v").filter("u <> v")
-    both = links.union(links.select("v", "u"))
-    low = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
-    for _ in range(2):
-        low = low.alias("x").join(low.alias("y"), F.expr("x.v = y.u")).select("x.u", "y.v")
-    if labels is None:
-        return low.toDF("node", "component")
-    moved = labels.join(low, F.col("component") == F.col("u"), "left").select("node", F.coalesce("v", "component").alias("component"))
-    return moved.union(low.join(labels.select(F.col("node").alias("u")), "u", "left_anti").toDF("node", "component"))
-
-
 def _shared(first: DataFrame) -> DataFrame:
     """Rows (code, node, n, at) of the codes that two sets have. The frequent ones are taken to be shared and are
     dealt to many tasks; of the others none has many sets."""
@@ -283,7 +309,7 @@ def _kept(hits: DataFrame, share) -> DataFrame:
 
 def _prepared(docs: DataFrame, width: int, share):
     """Rows with set sizes and fingerprints, classes of equal sets, hits of shared first codes, those of them that
-    propose pairs, and the whole sets of all that have such hits."""
+    propose pairs, and the texts and bitmaps of all that have such hits."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = staged(docs.mapInArrow(_survey(width), "doc_id long, n long, a long, b long, is_doc boolean"), "survey")
@@ -297,11 +323,10 @@ def _prepared(docs: DataFrame, width: int, share):
     hits = staged(_shared(first), "hits")
     kept = staged(_kept(hits, share), "kept")
     classes = staged(rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")), "classes")
-    needed = staged(kept.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id"), "needed")
-    sent = F.broadcast(needed) if needed.count() <= MOST_SENT else needed
-    sets = staged(known.join(sent, "doc_id").select("node", "text").mapInArrow(_whole_sets(width, order), "node long, n int, codes binary"), "sets")
-    discard(needed)
-    return rows, classes, hits, kept, sets
+    places = staged(kept.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id"), "places")
+    texts = _Texts(known, places, width, order)
+    bits = staged(texts.sets(None, _parity), "bits")
+    return rows, classes, hits, kept, texts, bits
 
 
 def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -312,7 +337,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
     empty set and is alone. A row with a null doc_id gets its set's size and a null component and links
     nothing. Repeated rows give repeated results. Other columns are ignored. An empty table gives no rows.
     """
-    rows, classes, hits, kept, sets = _prepared(docs, width, share)
+    rows, classes, hits, kept, texts, bits = _prepared(docs, width, share)
 
     labels, links, star, turn = None, None, True, 0
     while True:
@@ -321,27 +346,25 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
             live = kept.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = live.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("code")
             live = staged(live.join(mixed, "code"), "live")
-        pairs = staged(_star_pairs(live, turn, share) if star else _tree_pairs(live, hits, share), "pairs")
-        tried = pairs.count()
-        found = staged(_verify(pairs, sets, share), "links") if tried else None
-        joined = found.count() if tried else 0
+        pairs = _star_pairs(live, turn, share) if star else _tree_pairs(live, hits, share)
+        pairs = staged(_possible(pairs, bits, share), "pairs")
+        found = None if pairs.isEmpty() else staged(_verify(pairs, texts, share), "links")
+        joined = 0 if found is None else found.count()
         discard(pairs, live)
         if joined:
             links = found if links is None else links.union(found)
+            labels = staged(connected_components(links), "components")
         if not star:
             break
         turn += 1
-        star = turn < STARS and 10 * joined > tried
-        if joined:
-            labels = staged(_labels(found, labels), "labels")
-    components = None if links is None else staged(connected_components(links), "components")
-    discard(hits, kept, sets)
+        star = turn < STARS and joined > 0
+    discard(hits, kept, bits)
 
     label = classes.select("a", "b", "doc_id")
-    if components is None:
+    if labels is None:
         label = label.withColumnRenamed("doc_id", "component_id")
     else:
-        label = label.join(components, F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", "a"))
+        label = label.join(labels, F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", "a"))
         top = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         label = label.join(top, "component").select("a", "b", "component_id")
     out = rows.join(label, ["a", "b"], "left")
@@ -356,9 +379,9 @@ def count_links(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SH
     links between different sets; classes of equal sets only weigh. Rows with an empty set or a null doc_id have
     and give no links.
     """
-    rows, classes, hits, kept, sets = _prepared(docs, width, share)
-    pairs = staged(_tree_pairs(kept.withColumn("component", F.col("node")), hits, share), "pairs")
-    links = staged(_verify(pairs, sets, share), "links")
+    rows, classes, hits, kept, texts, bits = _prepared(docs, width, share)
+    pairs = staged(_possible(_tree_pairs(kept.withColumn("component", F.col("node")), hits, share), bits, share), "pairs")
+    links = staged(_verify(pairs, texts, share), "links")
     sizes = rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.count("*").alias("copies"))
     others = links.union(links.select("v", "u")).join(sizes.select(F.col("a").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
     per = sizes.join(others, F.col("a") == F.col("u"), "left").select("a", "b", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -1,13 +1,14 @@
 """WARC archives with revisit resolution.
 
 Headers (page, digest, size) are shuffled by payload digest without payloads; the smallest page of each
-digest is its original, the others become revisit records that refer to it. Archives are text files whose
+digest is its original, the others become revisit records that refer to it. Archives are gzipped text files whose
 records end in two line breaks, which is what Spark's text writer puts between rows; they are read back by
 their Content-Length.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from datetime import UTC, datetime
@@ -91,7 +92,7 @@ def _read(batches):
     """Records of whole files; a response's digest and size are taken from its payload, not from its header."""
     for b in batches:
         for data in b.column(0).to_pylist():
-            at, rows = 0, []
+            at, rows, data = 0, [], gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
             while at < len(data):
                 end = data.index(b"\r\n\r\n", at)
                 lines = data[at:end].decode().split("\r\n")
