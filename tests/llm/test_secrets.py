@@ -68,6 +68,15 @@ def test_queries_and_scan_everything():
     assert all(S._named(S.trigram_query(r.pattern)) for r in S.RULES if r.kind != "hex")
 
 
+def test_rules_of_letters_beyond_ascii_and_of_either_case(spark):
+    rules = [S.Rule("school", "ÉCOLE[0-9]+"), S.Rule("any", "(?i)secret="), S.Rule("part", "x(?i:stuvw)y")]
+    assert S.trigram_query(rules[1].pattern) == [] and S.trigram_query(rules[0].pattern)
+    texts = ["a ÉCOLE12 b", "école12", "ſecret=abc", "SECRET=", "xſTUvWy", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in S.scan_secrets(docs, rules).collect()}
+    assert found == {0: [("school", 2, 9)], 1: [], 2: [("any", 0, 7)], 3: [("any", 0, 7)], 4: [("part", 0, 7)], 5: []}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=abcdef b", 3), (2, None, 3), (3, "clean", 3)], "doc_id long, text string, n int")
     rows = {r["doc_id"]: r for r in S.redact_secrets(docs).collect()}

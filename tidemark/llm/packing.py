@@ -8,10 +8,12 @@ shuffled (the ids too if they are asked for), and a group's size doesn't depend
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,25 +63,27 @@ def first_fit_decreasing(sizes, capacity: int = CAPACITY) -> tuple[list[int], li
 
 def _cut(path: str, end_id: int, capacity: int, groups: int, with_ids: bool):
     def run(batches):
-        enc, end, row = encoder(path), np.array([end_id], "<u4"), 0
+        enc, end, times, task = encoder(path), np.array([end_id], "<u4"), Counter(), TaskContext.get().partitionId()
         for b in batches:
             for a, z in text_slices(b.column(1)):
                 part = b.slice(a, z - a)
                 out: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids = np.concatenate([ids, end])
+                    # equal rows are parted by how often the task has had them, whatever the order of its rows
+                    own = (doc_id, len(ids), zlib.crc32(ids.tobytes()))
+                    own, times[own] = f"{own}:{times[own]}:{task}", times[own] + 1
                     for at in range(0, len(ids), capacity):
                         piece = ids[at : at + capacity]
                         crc = zlib.crc32(piece.tobytes())
-                        # the row's place in its partition parts repeated rows
-                        group = zlib.crc32(f"{doc_id}:{at}:{crc}:{row}".encode()) % groups
-                        out.append((doc_id, at, len(piece), crc, len(ids), group, piece.astype(np.int64) if with_ids else None))
-                    row += 1
+                        # whole sequences need no other piece, so they are dealt one by one
+                        group = zlib.crc32((f"{own}:{at}" if len(piece) == capacity else own).encode()) % groups
+                        out.append((doc_id, at, len(piece), crc, len(ids), group, piece.astype(np.int32) if with_ids else None))
                 cols = list(zip(*out, strict=True))
                 arrays = [pa.array(cols[0], part.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:6])]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"]
                 if with_ids:
-                    arrays.append(pa.array(cols[6], pa.list_(pa.int64())))
+                    arrays.append(pa.array(cols[6], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
     return run
@@ -106,7 +110,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = VOCABULARY, end_id: int = E
     groups = max(1, -(-docs.count() // group_docs))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     cols = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
-    more = ", ids array<long>" if with_ids else ""
+    more = ", ids array<int>" if with_ids else ""
     pieces = docs.select("doc_id", "text").mapInArrow(_cut(vocabulary(tokenizer), end_id, capacity, groups, with_ids), f"{cols}, grp long{more}")
     return pieces.groupBy("grp").applyInPandas(_pack(capacity), f"{cols}{more}, sequence_id long, offset long")
 

@@ -57,9 +57,14 @@ MARK = "[secret]"
 _MOST = 64  # strings that are followed at once before they are turned into a clause
 
 
+def _folded(text: str) -> str:
+    """ASCII letters in lower case, as the index has them; others as they are."""
+    return "".join(c.lower() if c < "\x80" else c for c in text)
+
+
 def _clause(strings: set[str]):
     """Some string of the set occurs; True if that says nothing about trigrams."""
-    folded = {s.lower() for s in strings}
+    folded = {_folded(s) for s in strings}
     if any(len(s.encode()) < 3 for s in folded):
         return True
     ways = {frozenset(s.encode()[i : i + 3] for i in range(len(s.encode()) - 2)) for s in folded}
@@ -88,6 +93,8 @@ def _walk(seq) -> tuple[set[str] | None, list]:
             append({chr(arg)})
         elif name == "IN" and (chars := _members(arg)) and len(chars) <= 8:
             append(chars)
+        elif name == "SUBPATTERN" and arg[1] & re.IGNORECASE:
+            flush()  # other characters may match, too
         elif name == "SUBPATTERN":
             strings, more = _walk(arg[-1])
             if strings is None:
@@ -135,14 +142,17 @@ def _members(items) -> set[str] | None:
             out |= {chr(c) for c in range(arg[0], arg[1] + 1)}
         else:
             return None
-    folded = {c.lower() for c in out}
+    folded = {_folded(c) for c in out}
     return folded if all(ord(c) < 128 for c in folded) else None
 
 
 def trigram_query(pattern: str) -> list:
     """Clauses that every match's text meets, each ``("or", [trigrams that occur together, ...])``
-    or ``("any", [clauses, ...])``; an empty list means that the rule scans fully."""
-    strings, clauses = _walk(parser.parse(pattern))
+    or ``("any", [clauses, ...])``; an empty list means that the rule scans fully, as one that ignores case does."""
+    parsed = parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE:
+        return []
+    strings, clauses = _walk(parsed)
     if strings is not None and (c := _clause(strings)) is not True:
         clauses = [*clauses, c]
     return clauses

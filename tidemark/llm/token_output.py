@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from itertools import count
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,23 @@ FILE_DOCS = 50_000  # documents a file at most, about
 _FILE = "part int, doc_id long, ids array<int>"
 
 
+class Turns:
+    """A number for each row that spreads equal rows and doesn't depend on the order of a task's rows."""
+
+    def __init__(self):
+        self.times = Counter()
+
+    def __call__(self, ids: np.ndarray) -> int:
+        own = zlib.crc32(ids.tobytes())
+        self.times[own] += 1
+        return own + self.times[own]
+
+
 def _encode(path: str, end_id: int, bounds: list[int]):
     """Rows of a file: its number by the document's place among ``bounds``. A document id that is a
     bound itself may go to either side, so even one id of many rows spreads over the files between."""
     def run(batches):
-        enc, end, edges, turn = encoder(path), np.array([end_id], "<u4"), np.array(bounds, np.int64), count()
+        enc, end, edges, turn = encoder(path), np.array([end_id], "<u4"), np.array(bounds, np.int64), Turns()
         for b in batches:
             for a, z in text_slices(b.column(1)):
                 part = b.slice(a, z - a)
@@ -30,7 +42,7 @@ def _encode(path: str, end_id: int, bounds: list[int]):
                 doc = part.column(0)
                 known = doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                 low, high = np.searchsorted(edges, known, "left"), np.searchsorted(edges, known, "right")
-                file = [lo + next(turn) % (hi - lo + 1) for lo, hi in zip(low.tolist(), high.tolist(), strict=True)]
+                file = [lo if lo == hi else lo + turn(x) % (hi - lo + 1) for x, lo, hi in zip(ids, low.tolist(), high.tolist(), strict=True)]
                 sizes = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 values = pa.array(np.concatenate(ids).view("<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), doc, pa.ListArray.from_arrays(pa.array(sizes), values)], names=["part", "doc_id", "ids"])
