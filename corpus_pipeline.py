@@ -34,8 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences."""
-    return pack_documents(docs)
+    """The documents' pieces in sequences, with their ids."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secrets", secrets), ("packing", packing)]
