@@ -27,10 +27,14 @@ def outside_windows(lines: DataFrame, windows: DataFrame, key: str, day: str, st
 
 
 def version_overlaps(versions: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Keys with more than one dated row, and how many rows begin before the one before them ends."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    v = versions.withColumn("_next", F.lead(start).over(w))
-    return v.groupBy(key).agg(F.count("*").alias("n_versions"), F.count_if(F.col("_next") <= F.col(end)).alias("n_overlaps")).filter("n_versions > 1")
+    """Keys with more than one dated row, and how many rows begin before some earlier one ends. A null start or end
+    is open; a null key is no key."""
+    a = F.coalesce(F.col(start).cast("date"), F.lit("0001-01-01").cast("date"))
+    z = F.coalesce(F.col(end).cast("date"), F.lit("9999-12-31").cast("date"))
+    v = versions.select(F.col(key).alias("k"), a.alias("a"), z.alias("z")).filter("k is not null")
+    before = F.max("z").over(Window.partitionBy("k").orderBy("a", "z").rowsBetween(Window.unboundedPreceding, -1))
+    v = v.withColumn("before", before).groupBy(F.col("k").alias(key))
+    return v.agg(F.count("*").alias("n_versions"), F.count_if(F.col("a") <= F.col("before")).alias("n_overlaps")).filter("n_versions > 1")
 
 
 def reference_price(lines: DataFrame, ref: DataFrame, key: str, day: str, start: str, end: str, price: str) -> DataFrame:

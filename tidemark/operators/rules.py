@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import norm_key
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -25,17 +27,36 @@ def _match(rule: Rule) -> Column:
     return F.coalesce(F.expr(rule.where), F.lit(False))
 
 
+def _fresh(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_rule{i}" for i in range(n + len(taken))) if c not in taken][:n]
+
+
+def _keys(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns under the equality of all groups and joins."""
+    types = dict(df.dtypes)
+    return [norm_key(F.col(c), types[c]) for c in names]
+
+
 def _dedupe(df: DataFrame, r: Rule) -> DataFrame:
-    """Of matching rows with an equal key one stays, by ``order``; the others of the table stay."""
-    w = Window.partitionBy(*r.args["key"], _match(r)).orderBy(*r.args["order"])
-    return df.withColumn("_rn", F.row_number().over(w)).filter(~_match(r) | (F.col("_rn") == 1)).drop("_rn")
+    """Of matching rows with an equal key one stays, by ``order``; the others of the table stay, and so does a row
+    whose key is blank in any column."""
+    keys, (rank,) = _keys(df, r.args["key"]), _fresh(df, 1)
+    whole = reduce(lambda a, b: a & b, (k.isNotNull() for k in keys))
+    w = Window.partitionBy(*keys, _match(r)).orderBy(*r.args["order"])
+    first = F.when(whole & _match(r), F.row_number().over(w)).otherwise(1)
+    return df.withColumn(rank, first).filter(f"{rank} = 1").drop(rank)
 
 
 def _fill(df: DataFrame, r: Rule) -> DataFrame:
-    """Blank matching cells take the last filled value before them within their group."""
-    w = Window.partitionBy(*r.args["key"]).orderBy(*r.args["order"]).rowsBetween(Window.unboundedPreceding, 0)
+    """A matching row takes, instead of its own, the last value that isn't blank of the rows before it in its group
+    that don't match; one with nothing above it stays as it is."""
+    w = Window.partitionBy(*_keys(df, r.args["key"])).orderBy(*r.args["order"]).rowsBetween(Window.unboundedPreceding, 0)
     c = F.col(r.column)
-    return df.withColumn(r.column, F.when(_match(r) & c.isNull(), F.last(c, True).over(w)).otherwise(c))
+    filled = c.isNotNull() & (F.trim(c.cast("string")) != "")
+    above = F.last(F.when(~_match(r) & filled, c), True).over(w)
+    return df.withColumn(r.column, F.when(_match(r), F.coalesce(above, c)).otherwise(c))
 
 
 def _map(df: DataFrame, r: Rule) -> DataFrame:
@@ -45,13 +66,14 @@ def _map(df: DataFrame, r: Rule) -> DataFrame:
 
 
 def _pair(df: DataFrame, r: Rule) -> DataFrame:
-    """Drop matching rows (reversals) with one partner each of the same key and the opposite amount."""
-    key, amount, order = r.args["key"], r.args["amount"], r.args["order"]
-    size = F.round(F.abs(F.col(amount)), 2)
-    w = Window.partitionBy(*key, size, _match(r)).orderBy(*order)
-    n = Window.partitionBy(*key, size)
-    d = df.withColumns({"_rn": F.row_number().over(w), "_m": F.sum(_match(r).cast("int")).over(n), "_o": F.sum((~_match(r)).cast("int")).over(n)})
-    return d.filter(F.col("_rn") > F.least("_m", "_o")).drop("_rn", "_m", "_o")
+    """Drop matching rows (reversals) with one partner each: a row that doesn't match, of the same key and the same
+    amount, sign aside. Blank keys and amounts are equal to each other."""
+    keys, (rank, named, others) = _keys(df, r.args["key"]), _fresh(df, 3)
+    size = F.round(F.abs(F.col(r.args["amount"])), 2)
+    w = Window.partitionBy(*keys, size, _match(r)).orderBy(*r.args["order"])
+    n = Window.partitionBy(*keys, size)
+    d = df.withColumns({rank: F.row_number().over(w), named: F.sum(_match(r).cast("int")).over(n), others: F.sum((~_match(r)).cast("int")).over(n)})
+    return d.filter(F.col(rank) > F.least(named, others)).drop(rank, named, others)
 
 
 _APPLY = {

@@ -170,9 +170,16 @@ def interval_windows(t):
     return joins.outside_windows(t("lineitem"), _windows(t), "l_partkey", "l_shipdate", "start", "end")
 
 
-@query(f"""WITH {_WINDOWS} SELECT k AS l_partkey, count(*) AS n_versions, count(*) FILTER (nx <= z) AS n_overlaps FROM (SELECT *, lead(a) OVER (PARTITION BY k ORDER BY a, z) AS nx FROM w) GROUP BY 1 HAVING count(*) > 1""")
+# with an open row and a long one over all others
+@query(f"""WITH {_WINDOWS}, v AS (SELECT k, a, z FROM w UNION ALL SELECT k, DATE '1995-10-01', NULL FROM w WHERE k % 6 = 0 UNION ALL SELECT k, NULL, DATE '1997-01-01' FROM w WHERE k % 10 = 0),
+o AS (SELECT k, coalesce(a, DATE '0001-01-01') AS a, coalesce(z, DATE '9999-12-31') AS z FROM v)
+SELECT k AS l_partkey, count(*) AS n_versions, count(*) FILTER (a <= b) AS n_overlaps
+FROM (SELECT *, max(z) OVER (PARTITION BY k ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o) GROUP BY 1 HAVING count(*) > 1""")
 def versions(t):
-    return joins.version_overlaps(_windows(t), "l_partkey", "start", "end")
+    w = _windows(t).select("l_partkey", "start", "end")
+    late = w.filter("l_partkey % 6 = 0").select("l_partkey", F.lit("1995-10-01").cast("date"), F.lit(None).cast("date"))
+    long = w.filter("l_partkey % 10 = 0").select("l_partkey", F.lit(None).cast("date"), F.lit("1997-01-01").cast("date"))
+    return joins.version_overlaps(w.union(late).union(long), "l_partkey", "start", "end")
 
 
 @query(f"""WITH {_WINDOWS}, n AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM w WHERE k % 4 <> 0)
@@ -396,16 +403,22 @@ def rule_filter(t):
     return _totals(apply_rules(t("orders"), [Rule("filter", "o_totalprice > 1000")]))
 
 
-@query(f"SELECT {_SUMS} FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderkey) AS rn FROM orders) WHERE o_orderstatus <> 'F' OR rn = 1")
+# blank keys, and keys that differ in case and blanks only
+@query(f"""WITH o AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN ' Buyer ' || o_custkey || '.' ELSE 'buyer  ' || o_custkey END AS buyer FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderkey) AS rn FROM o WHERE buyer IS NOT NULL)
+SELECT {_SUMS} FROM (SELECT o_totalprice FROM k WHERE o_orderstatus <> 'F' OR rn = 1 UNION ALL SELECT o_totalprice FROM o WHERE buyer IS NULL)""")
 def rule_dedupe(t):
-    return _totals(apply_rules(t("orders"), [Rule("dedupe", "o_orderstatus = 'F'", args={"key": ["o_custkey"], "order": ["o_orderkey"]})]))
+    buyer = F.when(F.col("o_orderkey") % 5 == 0, None).when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" Buyer "), "o_custkey", F.lit("."))).otherwise(F.concat(F.lit("buyer  "), "o_custkey"))
+    return _totals(apply_rules(t("orders").withColumn("buyer", buyer), [Rule("dedupe", "o_orderstatus = 'F'", args={"key": ["buyer"], "order": ["o_orderkey"]})]))
 
 
-@query("""SELECT v AS value, count(*) AS n FROM (SELECT coalesce(x, last_value(x IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS v
-FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS x FROM orders)) GROUP BY 1""")
+@query("""SELECT v AS value, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 1 THEN coalesce(last_value(CASE WHEN o_orderkey % 3 <> 1 AND x <> ' ' THEN x END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), x) ELSE x END AS v
+FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 2 = 0 THEN ' ' WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS x FROM orders)) GROUP BY 1""")
 def rule_fill(t):
-    d = t("orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("value"))
-    return apply_rules(d, [Rule("fill", column="value", args={"key": ["o_custkey"], "order": ["o_orderkey"]})]).groupBy("value").agg(F.count("*").alias("n"))
+    k = F.col("o_orderkey")
+    value = F.when((k % 3 == 2) & (k % 2 == 0), " ").when((k % 3 == 1) & (k % 2 == 0), None).otherwise(F.col("o_orderpriority"))
+    d = t("orders").select("o_custkey", "o_orderkey", value.alias("value"))
+    return apply_rules(d, [Rule("fill", "o_orderkey % 3 = 1", "value", {"key": ["o_custkey"], "order": ["o_orderkey"]})]).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
