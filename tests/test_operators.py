@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_number
-from tidemark.operators import fresh, graph, joins, keys, recipes
+from tidemark.operators import fresh, graph, joins, keys, recipes, roles
 from tidemark.operators.rules import Rule, apply_rules
 
 
@@ -49,3 +49,28 @@ def test_reference_price_takes_one_version(spark):
     got = joins.reference_price(lines, ref, "k", "d", "a", "z", "p")
     assert got.columns == ["k", "d", "want", "reference"] and got.count() == len(want)
     assert got.filter("not reference <=> want").count() == 0
+
+
+def test_roles_keys_and_runs(spark):
+    rows = [(i, f"c{i % 3}", 100 + i % 2, i + 0.25, None, "x") for i in range(60)] + [(None, None, None, None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_no long, kind string, branch int, amount double, none string, extra string")
+    got = {r["column"]: (r["groups"], r["codes"], r["document_numbers"]) for r in roles.column_roles(df, ["doc_no", "kind", "branch", "amount", "none"]).collect()}
+    assert got == {"doc_no": (False, False, True), "kind": (True, False, False), "branch": (True, True, False), "amount": (False, False, False)}
+    assert [tuple(r) for r in roles.money_column(df, ["doc_no", "branch", "amount", "kind"]).collect()] == [("amount", 1785.0)]
+    assert roles.money_column(df.limit(0), ["amount"]).count() == 0 and roles.money_column(df, ["kind"]).count() == 0
+    pairs = spark.createDataFrame([(a, b, c) for a in range(5) for b in range(5) for c in range(5)], "a int, b int, c int")
+    assert [tuple(r) for r in roles.smallest_key(pairs, ["a", "b", "c"]).collect()] == [("a,b,c", 0)]
+    assert roles.smallest_key(pairs.union(pairs), ["a", "b", "c"]).count() == 0 and roles.smallest_key(pairs.limit(0), ["a"]).count() == 0
+    lines = spark.createDataFrame([("A ", f"2024-0{1 + i % 6}-01", 2.0 if i % 6 > 1 else 3.0, 2.0) for i in range(30)] + [(None, "2024-01-01", 2.0, 2.0), ("b", None, 2.0, 2.0), ("b", "2024-01-01", 2.0, None)], "m string, at string, p double, r double")
+    assert [tuple(r) for r in roles.conformity_runs(lines, "m", "at", "p", "r").collect()] == [("a", "2024-03", 4, 20, 20)]
+
+
+def test_rules_with_blanks_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "A", "x", 5.0, 0), (2, " a.", " ", -5.0, 0), (3, None, None, 5.0, 0), (4, None, "y", None, 0)], "i int, k string, v string, amount double, _rule0 int")
+    kept = apply_rules(df, [Rule("dedupe", args={"key": ["k"], "order": ["i"]})])
+    assert kept.columns == df.columns and sorted(r["i"] for r in kept.collect()) == [1, 3, 4]
+    filled = apply_rules(df, [Rule("fill", "i > 1", "v", {"key": ["_rule0"], "order": ["i"]})])
+    assert {r["i"]: r["v"] for r in filled.collect()} == {1: "x", 2: "x", 3: "x", 4: "x"}
+    paired = apply_rules(df, [Rule("pair", "amount < 0", args={"key": ["k"], "amount": "amount", "order": ["i"]})])
+    assert sorted(r["i"] for r in paired.collect()) == [3, 4]
+    assert apply_rules(df.limit(0), [Rule("dedupe", args={"key": ["k"], "order": ["i"]})]).count() == 0

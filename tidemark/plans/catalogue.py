@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_date, parse_number
-from tidemark.operators import evidence, fresh, graph, joins, keys, profile, recipes, timeline
+from tidemark.operators import evidence, fresh, graph, joins, keys, profile, recipes, roles, timeline
 from tidemark.operators.rules import Rule, apply_rules, rule_effect
 
 QUERIES: dict = {}
@@ -593,3 +593,56 @@ SELECT p_partkey AS code, live_code FROM part JOIN s USING (p_type) WHERE p_part
 def stale_codes_part(t):
     """Parts without a large line whose type a part with one has."""
     return evidence.stale_codes(t("part"), t("lineitem").filter("l_quantity >= 40"), "p_partkey", "p_type", "l_partkey")
+
+
+# column roles and keys
+_ROLE_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "priority_code", "warehouse"]
+_ROLES = """SELECT '{c}' AS "column", count({c}) AS n_filled, count(DISTINCT {c}) AS n_distinct, {few} AND {codes_or_text} AS groups, {few} AND {codes} AS codes, {ids} AS document_numbers FROM o"""
+
+
+def _roles_sql():
+    parts = []
+    for c, number, code in (("o_orderkey", True, True), ("o_custkey", True, True), ("o_orderstatus", False, False), ("o_orderpriority", False, False), ("priority_code", True, True), ("warehouse", True, False)):
+        few = f"(count(DISTINCT {c}) BETWEEN 2 AND 30 AND count({c}) >= 10 * count(DISTINCT {c}))"
+        width = f"(min(length(CAST({c} AS VARCHAR))) = max(length(CAST({c} AS VARCHAR))) AND min(length(CAST({c} AS VARCHAR))) >= 3)"
+        codes = "false" if not number else "true" if code else width
+        ids = f"count(DISTINCT {c}) >= 0.9 * count({c})" if number else "false"
+        parts.append(_ROLES.format(c=c, few=few, codes=codes, codes_or_text=codes if number else "true", ids=ids))
+    return "WITH o AS (SELECT *, o_orderkey % 7 AS priority_code, 100 + o_orderkey % 12 AS warehouse FROM orders) " + " UNION ALL ".join(parts)
+
+
+@query(_roles_sql())
+def column_roles(t):
+    o = t("orders").withColumns({"priority_code": F.col("o_orderkey") % 7, "warehouse": 100 + F.col("o_orderkey") % 12})
+    return roles.column_roles(o, _ROLE_COLUMNS)
+
+
+@query("""SELECT 'l_extendedprice' AS "column", round(sum(abs(l_extendedprice)), 2) AS total FROM lineitem""")
+def money_column_lineitem(t):
+    return roles.money_column(t("lineitem"), ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"])
+
+
+@query("SELECT 'l_orderkey,l_partkey' AS columns, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS extra FROM lineitem")
+def smallest_key_lineitem(t):
+    return roles.smallest_key(t("lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
+
+
+# every hundredth customer is there twice
+@query("SELECT 'c_custkey' AS columns, count(*) FILTER (c_custkey % 200 = 0) AS extra FROM customer")
+def near_key_customer(t):
+    c = t("customer")
+    return roles.smallest_key(c.union(c.filter("c_custkey % 200 = 0")), ["c_custkey", "c_nationkey", "c_mktsegment"])
+
+
+# one flag follows the list throughout, one from a day on, one with exceptions
+@query("""WITH l AS (SELECT l_returnflag AS g, strftime(l_shipdate, '%Y-%m') AS m, CASE
+  WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND l_shipdate >= TIMESTAMP '1995-06-01') OR (l_returnflag = 'R' AND l_orderkey % 20 <> 0) THEN 1 ELSE 0 END AS hit FROM lineitem),
+c AS (SELECT g, m, count(*) AS n, sum(hit) AS hit FROM l GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER w AS nl, sum(hit) OVER w AS nh, count(*) OVER w AS nm FROM c WINDOW w AS (PARTITION BY g ORDER BY m DESC)),
+f AS (SELECT g, min(m) AS m FROM r WHERE 2 * hit >= n AND 10 * nh >= 9 * nl GROUP BY 1)
+SELECT lower(g) AS "group", m AS since, nm AS n_months, CAST(nl AS BIGINT) AS n_lines, CAST(nh AS BIGINT) AS n_at FROM r JOIN f USING (g, m) WHERE nm >= 3 AND nl >= 10""")
+def price_conformity(t):
+    kept = F.expr("l_returnflag = 'A' or (l_returnflag = 'N' and l_shipdate >= '1995-06-01') or (l_returnflag = 'R' and l_orderkey % 20 <> 0)")
+    p = t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("list"))
+    lines = t("lineitem").join(p, "l_partkey").withColumn("price", F.when(kept, F.col("list")).otherwise(F.col("list") * 1.5))
+    return roles.conformity_runs(lines, "l_returnflag", "l_shipdate", "price", "list")
