@@ -110,10 +110,12 @@ def test_decontaminate(spark):
     docs = spark.createDataFrame([(1, "A " + " ".join(words[2:16]) + " z", 0), (2, " ".join(words[:12]), 0), (3, None, 0), (4, "", 0), (5, ("pad " * 500) + "Short, ITEM!", 0)], "doc_id long, text string, items int")
     r = {x["doc_id"]: x for x in decontaminate.contamination(docs, bench).collect()}
     assert r[1]["hits"] == list(range(1, 15)) and r[1]["items"] == ["1"] and r[2]["hits"] == [] and r[5]["items"] == ["2"] and r[3]["n_words"] == 0
-    for most in (50_000, 0):
-        assert sorted(x["doc_id"] for x in decontaminate.decontaminate(docs, bench, most=most).collect()) == [2, 3, 4, 5]
-    cut = {x["doc_id"]: x["text"] for x in decontaminate.decontaminate(docs, bench, remove="spans").collect()}
-    assert cut[1] == "A z" and cut[2] == " ".join(words[:12]) and cut[3] is None
+    for sizes in ({}, {"most": 0}, {"most": 0, "sent": 0}):  # set in the plan, broadcast table, shuffle
+        assert sorted(x["doc_id"] for x in decontaminate.decontaminate(docs, bench, **sizes).collect()) == [2, 3, 4, 5]
+        cut = {x["doc_id"]: x["text"] for x in decontaminate.decontaminate(docs, bench, remove="spans", **sizes).collect()}
+        assert cut[1] == "A z" and cut[2] == " ".join(words[:12]) and cut[3] is None
+        same = {x["doc_id"]: x for x in decontaminate.contamination(docs, bench, **sizes).collect()}
+        assert same == r
     assert decontaminate.contamination(docs, bench.limit(0)).filter("size(hits) > 0").count() == 0
 
 
@@ -154,3 +156,11 @@ def test_archives(spark):
     assert len(got) == 7 and {k: v["refers_to"] for k, v in got.items()} == {3: 1, 1: None, 2: None, 5: None, 4: None, None: None, 6: 1}
     assert got[3]["payload_bytes"] == len(long.encode()) and got[3]["record_type"] == "revisit" and got[4]["payload_bytes"] == 0
     assert pq.read_table(f"{SMALL}/pages.parquet").num_rows > 0
+
+
+def test_many_windows(spark):
+    items = spark.range(20_000).selectExpr("id as item_id", "array_join(transform(sequence(0, 22), x -> concat('w', id * 23 + x)), ' ') as text")
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(23 * 777 + 2, 23 * 777 + 17))), (2, "w1 w2 w3"), (3, None)], "doc_id long, text string")
+    assert decontaminate.benchmark_windows(items).n == 220_000
+    got = {r["doc_id"]: (len(r["hits"]), r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (15, ["777"]), 2: (0, []), 3: (0, [])}

@@ -1,8 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Windows of an item's normalised words (13, or all of them if there are fewer) make a hash set that
-is sent to all tasks if it is proven small; each document's window hashes are looked up in it where
-the row is, and what is found is verified word by word. A larger benchmark is joined by a shuffle.
+is sent to all tasks; each document's window hashes are looked up in it where the row is, and what is
+found is verified word by word. Up to ``MOST_WINDOWS`` the set is in the plan itself; up to ``MOST_SENT``
+it is a broadcast table of 64-bit hashes, and only the positions that it holds leave their row. Only
+beyond that, where a broadcast has no proven bound, positions are shuffled to the windows.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 13
 MOST_WINDOWS, MOST_BYTES = 50_000, 64 << 20  # of a benchmark whose windows are sent to all tasks
+MOST_SENT = 8_000_000  # hashes that a table sent to all tasks may hold
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,21 +41,27 @@ def _three(size: int) -> list[int]:
     return sorted({0, size // 2, size - 1})
 
 
+def _whole(size: int, at: Column) -> Column:
+    return _parts(list(range(size)), at)
+
+
 def _place(size: int):
-    def place(i):
-        words = F.transform(F.sequence(i, i + size - 1), lambda j: F.get("w", j - 1))
-        return F.struct(i.alias("at"), F.lit(size).alias("n"), F.array_join(words, " ").alias("window"))
+    return lambda i: F.struct(i.alias("at"), F.lit(size).alias("n"), F.array_join(F.slice("w", i, F.lit(size)), " ").alias("window"))
 
-    return place
+
+def _hashed_place(size: int):
+    return lambda i: F.struct(i.alias("at"), F.lit(size).alias("n"), _whole(size, i).alias("h"))
 
 
 @dataclass
 class Windows:
-    """``table``: window, n_words, items (distinct ids). ``hashes`` by size, None if they are too many to send."""
+    """``table``: window, n_words, items (distinct ids), and h, its hash. ``hashes`` by size, None if they are too
+    many for a plan; ``n``: how many windows there are."""
 
     table: DataFrame
     sizes: list[int]
     hashes: dict[int, tuple[list[int], list[int]]] | None
+    n: int = 0
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, most: int = MOST_WINDOWS) -> Windows:
@@ -73,7 +82,11 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, most: int = MOST
             own = table.filter(F.col("n_words") == s).select(F.transform("part", lambda x: F.xxhash64(x)).alias("wh"))
             found = own.select(_parts(_three(s), F.lit(1)), _parts(list(range(s)), F.lit(1))).collect()
             hashes[s] = sorted({r[0] for r in found}), sorted({r[1] for r in found})
-    return Windows(table.drop("part"), sizes, hashes)
+    table = table.withColumn("wh", F.transform("part", lambda x: F.xxhash64(x)))
+    h = F.lit(None).cast("long")
+    for s in sizes:
+        h = F.when(F.col("n_words") == s, _whole(s, F.lit(1))).otherwise(h)
+    return Windows(table.select("window", "n_words", "items", h.alias("h")), sizes, hashes, total["n"])
 
 
 def find_hits(docs: DataFrame, windows: Windows) -> DataFrame:
@@ -93,32 +106,42 @@ def find_hits(docs: DataFrame, windows: Windows) -> DataFrame:
         places = F.when(F.size("w") >= s, F.sequence(F.lit(1), F.size("w") - s + 1)).otherwise(F.array().cast("array<int>"))
         if windows.hashes is not None:
             places = F.filter(places, _among(s, windows.hashes[s]))
-        found.append(F.transform(places, _place(s)))
-    none = F.array().cast("array<struct<at:int,n:int,window:string>>")
+        found.append(F.transform(places, _place(s) if windows.hashes is not None else _hashed_place(s)))
+    none = F.array().cast(f"array<struct<at:int,n:int,{'window:string' if windows.hashes is not None else 'h:long'}>>")
     d = d.select("id", "row", "w", (F.concat(*found) if found else none).alias("found"))
     return d
 
 
-def _occurrences(d: DataFrame, windows: Windows) -> DataFrame:
-    """Rows ``id, at, n, items`` of verified occurrences."""
-    at = d.select("id", F.explode("found").alias("f")).select("id", "f.at", "f.n", "f.window")
-    table = windows.table.select(F.col("window"), F.col("n_words").alias("n"), "items")
-    return at.join(F.broadcast(table) if windows.hashes is not None else table, ["window", "n"])
+def _looked_up(d: DataFrame, windows: Windows, own: list[str], most: int) -> DataFrame:
+    """Rows (own columns, at, n, items) of the places in ``found``: of all whose hash is some window's, and of each
+    row's first; items is null where the words are no window's."""
+    at = d.select(*own, "w", F.explode_outer("found").alias("f")).select(*own, "w", "f.at", "f.n", "f.h")
+    hashes = windows.table.select("h", F.lit(True).alias("known")).distinct()
+    text = F.array_join(F.slice("w", F.col("at"), F.col("n")), " ")
+    if windows.n <= most:
+        at = at.join(F.broadcast(hashes), "h", "left").filter("known or at is null or at = 1").withColumn("window", text)
+    else:
+        at = at.withColumn("window", text).drop("w").join(hashes, "h", "left").filter("known or at is null or at = 1")
+    table = windows.table.select("window", F.col("n_words").alias("n"), "items")
+    return at.select(*own, "at", "n", "window").join(table, ["window", "n"], "left").select(*own, "at", "n", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST_WINDOWS, sent: int = MOST_SENT) -> DataFrame:
     """``doc_id, n_words, hits, items`` for each row of ``docs``; see :func:`find_hits`.
 
     Null and empty texts have no words and no hits; without items, or with items without words, nothing
-    is hit; columns other than doc_id, text and item_id are ignored.
+    is hit; columns other than doc_id, text and item_id are ignored. ``most`` and ``sent`` bound what is put into the
+    plan and what is broadcast; they don't change the result.
     """
     windows = benchmark_windows(benchmark, width, most)
     d = find_hits(docs.select("doc_id", "text"), windows)
-    d = d.select("id", F.col("row.doc_id").alias("doc_id"), F.size("w").cast("long").alias("n_words"), "found")
-    # one pass over the texts: a row without candidates goes on with a null
-    at = d.select("id", "doc_id", "n_words", F.explode_outer("found").alias("f")).select("id", "doc_id", "n_words", "f.at", "f.n", "f.window")
-    table = windows.table.select("window", F.col("n_words").alias("n"), "items")
-    at = at.join(F.broadcast(table) if windows.hashes is not None else table, ["window", "n"], "left")
+    if windows.hashes is None:
+        d = d.select("id", F.col("row.doc_id").alias("doc_id"), F.size("w").cast("long").alias("n_words"), "w", "found")
+        at = _looked_up(d, windows, ["id", "doc_id", "n_words"], sent)
+    else:  # one pass over the texts: a row without candidates goes on with a null
+        d = d.select("id", F.col("row.doc_id").alias("doc_id"), F.size("w").cast("long").alias("n_words"), "found")
+        at = d.select("id", "doc_id", "n_words", F.explode_outer("found").alias("f")).select("id", "doc_id", "n_words", "f.at", "f.n", "f.window")
+        at = at.join(F.broadcast(windows.table.select("window", F.col("n_words").alias("n"), "items")), ["window", "n"], "left")
     inside = F.when(F.col("items").isNotNull(), F.sequence(F.col("at") - 1, F.col("at") + F.col("n") - 2))
     return at.withColumn("inside", inside).groupBy("id", "doc_id", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("inside")))).alias("hits"),
@@ -130,7 +153,7 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = WIDTH, most: int = MOST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = WIDTH, most: int = MOST_WINDOWS, sent: int = MOST_SENT) -> DataFrame:
     """``docs`` with the same columns, without contaminated documents, or with the hit words cut out of
     ``text`` (``remove="spans"``: each with what stands before it and no word).
 
@@ -140,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     windows = benchmark_windows(benchmark, width, most)
     if windows.hashes is None:
         d = find_hits(docs, windows)
-        spots = _occurrences(d, windows).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
+        spots = _looked_up(d, windows, ["id"], sent).filter("items is not null").groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
         d = d.drop("found").join(spots, "id", "left").withColumn("spots", F.coalesce("spots", F.array().cast("array<struct<at:int,n:int>>")))
     else:
         exact = _exact_sets(windows)

@@ -72,9 +72,11 @@ class Quantiser:
 
     def probes(self, x: np.ndarray, cells: np.ndarray, reach: float) -> np.ndarray:
         """For each vector and list whether the list's cell comes within ``reach`` of it."""
-        d = ((x[:, None, :] - self.centres[None]) ** 2).sum(2)
+        size = (self.centres**2).sum(1)
+        d = (x**2).sum(1)[:, None] + size - 2 * x @ self.centres.T
         own = d[np.arange(len(x)), cells]
-        apart = np.sqrt(((self.centres[cells][:, None, :] - self.centres[None]) ** 2).sum(2))
+        kinds, which = np.unique(cells, return_inverse=True)
+        apart = np.sqrt(np.maximum(0, size[kinds][:, None] + size - 2 * self.centres[kinds] @ self.centres.T))[which]
         return (d - own[:, None]) <= 2 * (reach + _SLACK) * apart + _SLACK
 
 
