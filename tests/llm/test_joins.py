@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tidemark.llm import decontaminate, near_vectors, ngram_join, warc
+from tidemark.llm import decontaminate, near_vectors, ngram_join, secrets, warc
 from tidemark.llm.prefix_tree import PrefixTree, Sequence
 from tidemark.llm.shingles import shingle_sets
 
@@ -96,7 +96,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize(("run", "sql"), [(ngram_join.op4_ngram_join, ngram_join.OP4_SQL), (decontaminate.op5_decontaminate, decontaminate.OP5_SQL), (near_vectors.op7_near_vectors, near_vectors.OP7_SQL), (warc.op9_warc, warc.OP9_SQL)])
+@pytest.mark.parametrize(("run", "sql"), [(ngram_join.op4_ngram_join, ngram_join.OP4_SQL), (decontaminate.op5_decontaminate, decontaminate.OP5_SQL), (near_vectors.op7_near_vectors, near_vectors.OP7_SQL), (warc.op9_warc, warc.OP9_SQL), (secrets.op10_secret_scan, secrets.OP10_SQL)])
 def test_queries_equal_sql(spark, duck, run, sql):
     a, b = run(spark, SMALL).toPandas(), duck.execute(sql).df()
     a, b = (x[sorted(x.columns)].astype(object).where(x.notna(), None).map(lambda v: int(v) if isinstance(v, float) else v) for x in (a, b))

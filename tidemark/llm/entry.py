@@ -8,7 +8,7 @@ from tidemark.llm.language import op2_language
 from tidemark.llm.near_vectors import OP7_SQL, op7_near_vectors
 from tidemark.llm.ngram_join import OP4_SQL, op4_ngram_join
 from tidemark.llm.packing import op6_pack
-from tidemark.llm.secrets import op10_secret_scan
+from tidemark.llm.secrets import OP10_SQL, op10_secret_scan
 from tidemark.llm.token_counts import op3_token_counts
 from tidemark.llm.token_output import op8_token_output
 from tidemark.llm.warc import OP9_SQL, op9_warc
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_near_vectors": OP7_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_near_vectors": OP7_SQL, "op9_warc": OP9_SQL, "op10_secret_scan": OP10_SQL}

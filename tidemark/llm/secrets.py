@@ -268,3 +268,26 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     return digest_columns(scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _op10_sql() -> str:
+    """Matches of each rule in order, their places from the lengths of what stands between them."""
+    parts = []
+    for i, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{r.kind}' AS kind, {i} AS rank, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'k': length(k[i])}})) AS x
+  FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {r.group}) AS k, string_split_regex(t, '{p}') AS g FROM d) WHERE len(m) > 0""")
+    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in RULES)
+    base = ", ".join(f"'{r.kind}'" for r in BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    zero = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT doc_id, kind, rank, CAST(x.s AS BIGINT) AS a, kind || ':' || CAST(x.s AS BIGINT) || ':' || CAST(x.s + x.n AS BIGINT) AS w FROM f WHERE x.k >= CASE kind {least} END),
+g AS (SELECT doc_id, {counts}, string_agg(w, ',' ORDER BY a, rank) FILTER (kind IN ({base})) AS base, string_agg(w, ',' ORDER BY a, rank) AS spans FROM s GROUP BY 1)
+SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+OP10_SQL = _op10_sql()
