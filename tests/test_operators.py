@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_number
-from tidemark.operators import fresh, graph, joins, keys, recipes, roles
+from tidemark.operators import fresh, graph, joins, keys, ledger, recipes, roles
 from tidemark.operators.rules import Rule, apply_rules
 
 
@@ -74,3 +74,12 @@ def test_rules_with_blanks_and_clashing_names(spark):
     paired = apply_rules(df, [Rule("pair", "amount < 0", args={"key": ["k"], "amount": "amount", "order": ["i"]})])
     assert sorted(r["i"] for r in paired.collect()) == [3, 4]
     assert apply_rules(df.limit(0), [Rule("dedupe", args={"key": ["k"], "order": ["i"]})]).count() == 0
+
+
+def test_fixed_ratio(spark):
+    rows = [(f"d{i}", c, v) for i in range(30) for c, v in (("net", 100.0 + i), ("VAT", round((100.0 + i) * 0.2, 2)), ("tip", float(i % 7)), ("back", -5.0))]
+    rows += [(None, "vat", 1.0), ("d1", None, 1.0), ("x", "vat", None), ("y", "vat", 3.0)]
+    df = spark.createDataFrame(rows, "doc string, cat string, v double")
+    got = [tuple(r) for r in ledger.fixed_ratio(df.filter("cat <> 'tip'"), "doc", "cat", "v").collect()]
+    assert got == [("vat", 0.2, 30, 30)]
+    assert ledger.fixed_ratio(df, "doc", "cat", "v").count() == 0 and ledger.fixed_ratio(df.limit(0), "doc", "cat", "v").count() == 0

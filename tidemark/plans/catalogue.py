@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_date, parse_number
-from tidemark.operators import evidence, fresh, graph, joins, keys, profile, recipes, roles, timeline
+from tidemark.operators import evidence, fresh, graph, joins, keys, ledger, profile, recipes, roles, timeline
 from tidemark.operators.rules import Rule, apply_rules, rule_effect
 
 QUERIES: dict = {}
@@ -646,3 +646,21 @@ def price_conformity(t):
     p = t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("list"))
     lines = t("lineitem").join(p, "l_partkey").withColumn("price", F.when(kept, F.col("list")).otherwise(F.col("list") * 1.5))
     return roles.conformity_runs(lines, "l_returnflag", "l_shipdate", "price", "list")
+
+
+# each order's goods, a tax of 7.25 % of them, and a fee that follows nothing
+@query("""WITH g AS (SELECT l_orderkey AS doc, 'goods' AS cat, l_extendedprice AS v FROM lineitem), s AS (SELECT doc, round(sum(v), 2) AS goods FROM g GROUP BY 1),
+l AS (SELECT * FROM g UNION ALL SELECT doc, CASE WHEN doc % 2 = 0 THEN 'Tax ' ELSE 'tax' END, round(goods * 0.0725, 2) FROM s UNION ALL SELECT doc, 'fee', -1.0 - doc % 5 FROM s),
+c AS (SELECT doc, sign(v) AS sg, lower(trim(cat)) AS cat, sum(v) AS v, count(*) AS n FROM l GROUP BY 1, 2, 3),
+r AS (SELECT cat, n, v, round(sum(v) OVER (PARTITION BY doc, sg) - v, 2) AS d FROM c),
+m AS (SELECT * FROM r WHERE n = 1 AND d <> 0),
+q AS (SELECT cat, greatest(0, least(1, round(v / d, 5))) AS ratio, row_number() OVER (PARTITION BY cat ORDER BY greatest(0, least(1, round(v / d, 5)))) AS i, count(*) OVER (PARTITION BY cat) AS nr FROM m),
+t AS (SELECT cat, nr, ratio AS r5, round(ratio, 4) AS r4 FROM q WHERE i = nr // 2 + 1 AND nr >= 20 AND ratio > 0 AND ratio <= 0.5),
+h AS (SELECT cat, nr, r4, r5, count(*) FILTER (abs(v - round(d * r4, 2)) <= 0.011) AS h4, count(*) FILTER (abs(v - round(d * r5, 2)) <= 0.011) AS h5 FROM m JOIN t USING (cat) GROUP BY ALL)
+SELECT cat AS category, CASE WHEN h4 >= h5 THEN r4 ELSE r5 END AS rate, nr AS n_records, greatest(h4, h5) AS n_hits FROM h WHERE greatest(h4, h5) >= 0.9 * nr""")
+def fixed_ratio_tax(t):
+    goods = t("lineitem").select(F.col("l_orderkey").alias("doc"), F.lit("goods").alias("cat"), F.col("l_extendedprice").alias("v"))
+    sums = goods.groupBy("doc").agg(F.round(F.sum("v"), 2).alias("goods"))
+    tax = sums.select("doc", F.when(F.col("doc") % 2 == 0, "Tax ").otherwise("tax"), F.round(F.col("goods") * 0.0725, 2))
+    fee = sums.select("doc", F.lit("fee"), -1.0 - F.col("doc") % 5)
+    return ledger.fixed_ratio(goods.union(tax).union(fee), "doc", "cat", "v")
