@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import staged
+
 CENT = 0.0051
 
 
@@ -21,11 +23,16 @@ def _ranked_totals(totals: DataFrame, value: str, parts: int = 16) -> DataFrame:
 
 
 def pareto(df: DataFrame, entity: str, amount: str, share: float = 0.8) -> DataFrame:
-    """The fewest entities that cover ``share`` of the positive total, of how many; no row below five entities."""
-    t = df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.sum(amount).cast("double").alias("amount")).filter("amount > 0").cache()
-    total = t.agg(F.sum("amount")).first()[0] or 0.0
-    r = _ranked_totals(t, "amount").agg(F.count_if(F.col("before") < share * total).alias("n_covering"), F.count("*").alias("n_entities"))
-    return r.filter("n_entities >= 5")
+    """The fewest entities that cover ``share`` of the positive total, and how many there are, those without a
+    positive total included; no row below five entities or without a positive total. Rows without an entity or an
+    amount don't count."""
+    rows = df.filter(F.col(entity).isNotNull() & F.col(amount).isNotNull())
+    t = staged(rows.groupBy(entity).agg(F.sum(amount).cast("double").alias("amount")), "entities")
+    all_ = t.agg(F.count("*").alias("n"), F.sum(F.when(F.col("amount") > 0, F.col("amount"))).alias("total")).first()
+    if all_["n"] < 5 or not all_["total"]:
+        return df.sparkSession.createDataFrame([], "n_covering long, n_entities long")
+    ranked = _ranked_totals(t.filter("amount > 0"), "amount")
+    return ranked.agg(F.count_if(F.col("before") < share * all_["total"]).alias("n_covering"), F.lit(all_["n"]).cast("long").alias("n_entities"))
 
 
 def top_share(df: DataFrame, entity: str, amount: str) -> DataFrame:
@@ -42,6 +49,7 @@ def product_check(df: DataFrame, quantity: Column, price: Column, total: Column)
 
 
 def negatives(df: DataFrame, amount: str) -> DataFrame:
+    """How many amounts are below zero, and their sum (null if none is); nulls don't count."""
     return df.agg(F.count_if(F.col(amount) < 0).alias("n_negative"), F.round(F.sum(F.when(F.col(amount) < 0, F.col(amount))), 2).alias("sum_negative"))
 
 
@@ -53,6 +61,7 @@ def mixed(df: DataFrame, column: str, k: int = 4) -> DataFrame:
 
 
 def date_range(df: DataFrame, column: str) -> DataFrame:
+    """The first and the last day and how many months they span; nulls don't count, an empty column gives nulls."""
     r = df.agg(F.min(column).alias("a"), F.max(column).alias("z"))
     months = (F.year("z") - F.year("a")) * 12 + F.month("z") - F.month("a") + 1
     return r.select(F.date_format("a", "yyyy-MM-dd").alias("first_day"), F.date_format("z", "yyyy-MM-dd").alias("last_day"), months.cast("long").alias("n_months"))
@@ -65,11 +74,13 @@ def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def blank_rates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The share of nulls of each column (null for an empty table)."""
     one = df.agg(*(F.round(F.avg(F.col(c).isNull().cast("double")), 6).alias(c) for c in columns))
     return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("blank_rate")) for c in columns))))
 
 
 def count_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many different values each column has, nulls apart."""
     one = df.agg(*(F.count_distinct(c).alias(c) for c in columns))
     return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_distinct")) for c in columns))))
 
@@ -111,6 +122,7 @@ def co_blank(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def group_blank_rate(df: DataFrame, group: str, column: str) -> DataFrame:
+    """For each group (null is one) its rows and the share of nulls."""
     return df.groupBy(group).agg(F.count("*").alias("n_rows"), F.round(F.avg(F.col(column).isNull().cast("double")), 6).alias("blank_rate"))
 
 

@@ -24,6 +24,7 @@ def header_scores(cells: DataFrame) -> DataFrame:
 
 
 def is_total_label(label: Column) -> Column:
+    """Whether a label names a total or subtotal; null doesn't."""
     return F.coalesce(F.lower(F.trim(label)).rlike(r"^(grand |sub-?)?totals?\b"), F.lit(False))
 
 
