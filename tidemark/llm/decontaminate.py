@@ -187,6 +187,7 @@ def _exact_sets(windows: Windows):
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Each document's hit words and the items whose windows occur in it."""
     d = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.size("hits").cast("long")
     return d.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -119,5 +119,6 @@ def extract_main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame
 
 
 def op1_html_text(spark, sf_dir: str) -> DataFrame:
+    """Each page's main text and its length."""
     text = extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return text.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -170,5 +170,6 @@ def keep_identified(docs: DataFrame, least: float = 0.0, model: Model | None = N
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:
+    """Each document's predicted language and score; learned from rows outside the held-out fold."""
     found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

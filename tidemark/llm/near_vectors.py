@@ -211,6 +211,7 @@ def link_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 
 
 def op7_near_vectors(spark, sf_dir: str) -> DataFrame:
+    """Each vector's links and component."""
     linked = link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return linked.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

@@ -413,6 +413,7 @@ def keep_one_row(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = S
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """Each document's set size and component."""
     return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

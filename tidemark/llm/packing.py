@@ -124,4 +124,5 @@ def padding_share(packed: DataFrame, capacity: int = CAPACITY) -> float:
 
 
 def op6_pack(spark, sf_dir: str) -> DataFrame:
+    """Each piece's place in its document and its sequence."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -267,6 +267,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Each document's secrets, counted and as spans."""
     return digest_columns(scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 

@@ -68,4 +68,5 @@ def length_quantile(sums: DataFrame, q: float) -> int | None:
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals of the documents' encoded lengths."""
     return suffix_sums(staged(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "lengths"))

@@ -94,6 +94,7 @@ def token_index(files: DataFrame) -> DataFrame:
 
 
 def op8_token_output(spark, sf_dir: str) -> DataFrame:
+    """Each document's place, length and checksum, read back from the files."""
     path = scratch_path(spark, "tokens")
     write_token_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return token_index(read_token_ids(spark, path))

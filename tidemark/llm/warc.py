@@ -126,6 +126,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """Each page's record, read back from the archives."""
     path = scratch_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path).drop("url")
