@@ -11,8 +11,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +68,7 @@ def _cut(path: str, end_id: int, capacity: int, groups: int, with_ids: bool):
             for a, z in text_slices(b.column(1)):
                 part = b.slice(a, z - a)
                 out: list[tuple] = []
+                pieces: list[np.ndarray] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids = np.concatenate([ids, end])
                     # equal rows are parted by how often the task has had them, whatever the order of its rows
@@ -78,23 +79,30 @@ def _cut(path: str, end_id: int, capacity: int, groups: int, with_ids: bool):
                         crc = zlib.crc32(piece.tobytes())
                         # whole sequences need no other piece, so they are dealt one by one
                         group = zlib.crc32((f"{own}:{at}" if len(piece) == capacity else own).encode()) % groups
-                        out.append((doc_id, at, len(piece), crc, len(ids), group, piece.astype(np.int32) if with_ids else None))
+                        out.append((doc_id, at, len(piece), crc, len(ids), group))
+                        if with_ids:
+                            pieces.append(piece)
                 cols = list(zip(*out, strict=True))
-                arrays = [pa.array(cols[0], part.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:6])]
+                arrays = [pa.array(cols[0], part.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"]
                 if with_ids:
-                    arrays.append(pa.array(cols[6], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *cols[2]], dtype=np.int32)
+                    arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(pieces).astype(np.int32)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
     return run
 
 
 def _pack(capacity: int):
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(pieces["length"].tolist(), capacity)
-        group = int(pieces["grp"].iloc[0])
-        return pieces.drop(columns="grp").assign(sequence_id=(np.array(bins, np.int64) + (group << 32)), offset=np.array(offsets, np.int64))
+    def run(pieces: pa.Table) -> pa.Table:
+        keys = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        order = pc.sort_indices(pieces, sort_keys=keys).to_numpy()
+        placed = first_fit_decreasing(pieces["length"].to_numpy()[order].tolist(), capacity)
+        # only the places are computed; rows stay where they are, so ids are never copied
+        bins, offsets = (np.empty(len(order), np.int64) for _ in placed)
+        bins[order], offsets[order] = placed
+        bins += pieces["grp"][0].as_py() << 32
+        return pieces.drop_columns("grp").append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offsets))
     return run
 
 
@@ -112,7 +120,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = VOCABULARY, end_id: int = E
     cols = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
     more = ", ids array<int>" if with_ids else ""
     pieces = docs.select("doc_id", "text").mapInArrow(_cut(vocabulary(tokenizer), end_id, capacity, groups, with_ids), f"{cols}, grp long{more}")
-    return pieces.groupBy("grp").applyInPandas(_pack(capacity), f"{cols}{more}, sequence_id long, offset long")
+    return pieces.groupBy("grp").applyInArrow(_pack(capacity), f"{cols}{more}, sequence_id long, offset long")
 
 
 def padding_share(packed: DataFrame, capacity: int = CAPACITY) -> float:
