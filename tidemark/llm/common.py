@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scratch import discard, scratch_path, staged  # noqa: F401
 
 
-def text_slices(texts: pa.Array, limit: int = 2_000_000):
+def text_slices(texts: pa.Array, limit: int = 500_000):
     """Cut an Arrow string column into runs of rows of about ``limit`` bytes (one row at least)."""
     sizes = np.asarray(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, total = 0, 0

@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 MOST_PIECES = 500_000  # kept per worker; then the table starts anew
-_SLOTS = 1 << 21
+_SLOTS = 1 << 20
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Classes of bytes: 0 ends a text, 1 white space, 2 part of a letter, 3 other, 9 not handled here.
 _CLASS = np.full(256, 9, np.uint8)
