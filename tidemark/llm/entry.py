@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tidemark.llm.html_extract import op1_html_text
 from tidemark.llm.language import op2_language
+from tidemark.llm.merkle import OP12_SQL, op12_merkle
 from tidemark.llm.near_vectors import OP7_SQL, op7_near_vectors
 from tidemark.llm.ngram_join import OP4_SQL, op4_ngram_join
 from tidemark.llm.packing import op6_pack
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op12_merkle": op12_merkle,
 }
-ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_near_vectors": OP7_SQL, "op9_warc": OP9_SQL, "op10_secret_scan": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_near_vectors": OP7_SQL, "op9_warc": OP9_SQL, "op10_secret_scan": OP10_SQL, "op12_merkle": OP12_SQL}
