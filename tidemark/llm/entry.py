@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.alignment import op13_align
 from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tidemark.llm.html_extract import op1_html_text
 from tidemark.llm.language import op2_language
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
     "op12_merkle": op12_merkle,
+    "op13_align": op13_align,
 }
 ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_near_vectors": OP7_SQL, "op9_warc": OP9_SQL, "op10_secret_scan": OP10_SQL, "op12_merkle": OP12_SQL}

@@ -67,6 +67,9 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cuttable(self, raw: bytes) -> bool:
+        return _plain(raw)
+
     def _add(self, pieces: list[bytes]) -> range:
         """Encode new pieces; their numbers."""
         ids = self._library([p.decode() for p in pieces])
@@ -149,7 +152,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        plain = [_plain(r) for r in raw]
+        plain = [self._cuttable(r) for r in raw]
         parts = [r if p else b"" for r, p in zip(raw, plain, strict=True)]
         buf = b"\0" + b"\0".join(parts) + b"\0" * 17
         b = np.frombuffer(buf, np.uint8)
@@ -169,6 +172,40 @@ class Encoder:
         return [ids[cuts[i] : cuts[i + 1]] if p else np.array(self._library([texts[i]])[0], "<u4") for i, p in enumerate(plain)]
 
 
+class PieceEncoder(Encoder):
+    """The same for a SentencePiece model that leaves texts as they are and puts a space before them.
+
+    Texts are given with that space. No piece of such a vocabulary holds a space behind another character,
+    so a text is cut before each run of spaces; a model with such pieces gets whole texts.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        self.space = self.model.piece_to_id("\u2581")
+        self.cuts = not any("\u2581" in self.model.id_to_piece(i).lstrip("\u2581") for i in range(self.model.get_piece_size()))
+        self._clear()
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [ids or [self.space] for ids in self.model.encode([t[1:] for t in texts], num_threads=1)]
+
+    def _cuttable(self, raw: bytes) -> bool:
+        return self.cuts and b"\0" not in raw
+
+    def _cut(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prev, cur = b[:-1], b[1:]
+        first = (cur == 0x20) & (prev != 0x20)
+        starts = np.flatnonzero(first) + 1
+        return starts, np.flatnonzero((first | (cur == 0)) & (prev != 0)) + 1 - starts
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder per worker process and model."""
+    return PieceEncoder(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
