@@ -107,11 +107,13 @@ class Encoder:
         out = self._look_up(k1, k2)
         far = sizes > 16
         out[far] = -1
-        for i in np.flatnonzero(far):
-            piece = buf[starts[i] : starts[i] + sizes[i]]
-            if (n := self.long.get(piece)) is None:
-                n = self.long[piece] = self._add([piece])[0]
-            out[i] = n
+        if far.any():
+            which = np.flatnonzero(far)
+            pieces = [buf[a : a + n] for a, n in zip(starts[which].tolist(), sizes[which].tolist(), strict=True)]
+            unknown = [p for p in dict.fromkeys(pieces) if p not in self.long]
+            if unknown:
+                self.long.update(zip(unknown, self._add(unknown), strict=True))
+            out[which] = [self.long[p] for p in pieces]
         new = np.flatnonzero(out < 0)
         if len(new):
             pieces = {buf[s : s + n]: i for i, s, n in zip(new.tolist(), starts[new].tolist(), sizes[new].tolist(), strict=True)}
