@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.alignment import op13_align
 from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tidemark.llm.hash_forest import op11_nearest
 from tidemark.llm.html_extract import op1_html_text
 from tidemark.llm.language import op2_language
 from tidemark.llm.merkle import OP12_SQL, op12_merkle
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op11_nearest": op11_nearest,
     "op12_merkle": op12_merkle,
     "op13_align": op13_align,
 }
