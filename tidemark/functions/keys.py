@@ -56,3 +56,25 @@ def parse_date(c: Column) -> Column:
     month = F.regexp_extract(t, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", 2).try_cast("int")
     slashed = F.when((day > 12) & (month <= 12), F.try_to_timestamp(t, F.lit("d/M/yyyy"))).when((month > 12) & (day <= 12), F.try_to_timestamp(t, F.lit("M/d/yyyy")))
     return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS), slashed).cast("date")
+
+
+# An identifier (letters, a mark, digits and marks) and a name written last name first.
+ID_FORM = r"^([A-Za-z]{0,4})([-_ /.#]?[0-9][0-9\-_ /.]*)$"
+NAME = r"\p{L}[\p{L}\p{N}_'.\-]*"
+LAST_FIRST = f"^{NAME}( {NAME})*, {NAME}( {NAME})*$"
+
+
+def written_form(c: Column, kind: str) -> Column:
+    """How a value is written: blank, flag, zero, int, dec, date, text date, ``id:`` with its prefix and marks, last_first, caps or word."""
+    if kind == "boolean":
+        form = F.lit("flag")
+    elif kind == "date" or kind.startswith("timestamp"):
+        form = F.lit("date")
+    elif kind == "string":
+        t = F.trim(c)
+        mark = F.concat(F.lit("id:"), F.upper(F.regexp_extract(t, ID_FORM, 1)), F.regexp_replace(F.regexp_extract(t, ID_FORM, 2), "[0-9]+", "#"))
+        form = F.when(t == "", "blank").when(parse_date(t).isNotNull(), "text date").when(t.rlike(ID_FORM), mark).when(t.rlike(LAST_FIRST), "last_first")
+        form = form.when(t.rlike("[A-Z]") & ~t.rlike("[a-z]"), "caps").otherwise("word")
+    else:
+        form = F.when(c == 0, "zero").when(c == F.floor(c), "int").otherwise("dec")
+    return F.when(c.isNull(), "blank").otherwise(form)
