@@ -2,10 +2,11 @@
 
 Every tree hashes a vector to a string of 62 bits, one a random plane, and holds its strings sorted, in blocks
 of bounded size by their first bits. A query descends in the first trees to the longest prefix that strings
-share with it, and ascends in them at once, a bit a step, until some hundred strings do. Their exact inner
+share with it, and ascends in them at once, a bit a step, until some thousand strings do. Their exact inner
 products say how near its neighbours are at least, and so how long a prefix neighbours share in one of all
 trees, with the probability asked for; there it ascends in all trees at once. All strings that share the
-prefix, however many, are candidates and are ranked where they lie. On vectors in groups that
+prefix, however many, are candidates and are ranked where they lie; what is less near than the neighbours known
+by then stays there. On vectors in groups that
 is a few; where a prefix is so short that all trees together would hold more than every vector, as on
 vectors without any structure, every vector is compared once instead.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged
 
 TREES, FIRST_TREES, BITS, SEED = 10, 4, 62, 11
-ENOUGH = 200  # strings in the first trees
+ENOUGH = 4096  # strings in the first trees
 RECALL = 0.92  # probability that the last of the neighbours shares the prefix in some tree
 BLOCK, QUERIES = 4096, 1024  # strings, and queries, that one task compares at once
 MOST_CELL_BITS = 40  # bits that a block's strings share at most
@@ -146,10 +147,11 @@ def _near_top(scores: np.ndarray, k: int) -> np.ndarray:
     return (scores >= last) | (scores >= last - 1e-9 * np.abs(scores).max(1, keepdims=True))
 
 
-def best_of(q: np.ndarray, x: np.ndarray, low: np.ndarray, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of queries and of vectors, and exact inner products, of each query's ``k`` best; ties go to the smaller ``low``."""
-    row, col = np.nonzero(_near_top(q @ x.T, k))
-    exact = np.concatenate([(q[row[i : i + 65_536]] * x[col[i : i + 65_536]]).sum(1) for i in range(0, len(row), 65_536)])
+def best_of(q: np.ndarray, x: np.ndarray, low: np.ndarray, classes: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of queries and of vectors, and exact inner products, of each query's ``k`` best that reach ``least``; ties go to the smaller ``low``."""
+    scores = q @ x.T
+    row, col = np.nonzero(_near_top(scores, k) & (scores >= (least - 1e-9 * np.abs(scores).max(1))[:, None]))
+    exact = np.concatenate([(q[row[i : i + 65_536]] * x[col[i : i + 65_536]]).sum(1) for i in range(0, len(row) or 1, 65_536)])
     order = np.lexsort((classes[col], low[col], -exact, row))
     row, col, exact = row[order], col[order], exact[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -165,7 +167,7 @@ def _rank(k: int):
             keys, classes, lows = (stored.column(c).to_numpy() for c in ("key", "class", "low"))
             size = stored.column("size")[0].as_py()
             x, q = _matrix(stored.column("vector"), size), _matrix(asking.column("vector"), size)
-            asked, levels, who = (asking.column(c).to_numpy() for c in ("key", "level", "class"))
+            asked, levels, who, least = (asking.column(c).to_numpy() for c in ("key", "level", "class", "least"))
             ends = np.zeros((len(asked), 2), np.int64)
             for level in np.unique(levels):  # one above the cell's takes the whole block
                 here = levels == level
@@ -174,7 +176,7 @@ def _rank(k: int):
             for i, (a, z) in enumerate(ranges.tolist()):
                 if z > a:
                     here = np.flatnonzero(which.ravel() == i)
-                    row, col, score = best_of(q[here], x[a:z], lows[a:z], classes[a:z], k)
+                    row, col, score = best_of(q[here], x[a:z], lows[a:z], classes[a:z], least[here], k)
                     out.append(pa.table({"query": pa.array(who[here[row]]), "class": pa.array(classes[a + col]), "low": pa.array(lows[a + col]), "score": pa.array(score)}))
         return pa.concat_tables(out)
     return run
@@ -234,8 +236,8 @@ class Forest:
         return queries.join(counts, "class", "left").select("class", F.coalesce(level, self.per_size(self.bits)).cast("int").alias("level"))
 
     def ascend(self, queries: DataFrame, trees: range, k: int) -> DataFrame:
-        """The ``k`` best of the strings that share ``level`` bits with a query in some tree; a level of 0 takes the first tree, that is, all strings."""
-        asked = self.asked(queries, trees).join(queries.select("class", "level"), "class").filter("level > 0 or tree = 0")
+        """The ``k`` best, of ``least`` or more, of the strings that share ``level`` bits with a query in some tree; a level of 0 takes the first tree, that is, all strings."""
+        asked = self.asked(queries, trees).join(queries.select("class", "level", "least"), "class").filter("level > 0 or tree = 0")
         asked = asked.withColumn("gap", F.greatest(F.lit(0), self.per_size(self.bits) - F.col("level")))
         first = F.expr("shiftleft(shiftright(cell, gap), gap)")  # a prefix shorter than a cell's is that of several cells
         asked = asked.withColumn("cell", F.explode(F.sequence(first, first + F.expr("shiftleft(1L, gap)") - 1))).drop("gap")
@@ -266,27 +268,27 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = RE
     forest, queries = Forest(classes), classes.filter("asks")
     some = range(FIRST_TREES)
     reached = staged(forest.descend(queries, some, max(ENOUGH, 2 * k)), "levels")
-    found = staged(forest.ascend(queries.join(reached, "class"), some, k + 1), "found")
+    found = staged(forest.ascend(queries.join(reached, "class").withColumn("least", F.lit(float("-inf"))), some, k + 1), "found")
     last = _best(found, k + 1).groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("score"))
     after = reached.join(last, F.col("class") == F.col("query"), "left").join(queries.select("class", "size", "vector"), "class")
-    after = after.mapInArrow(_next_level(forest.largest, k, recall), "class long, level int")
+    after = after.mapInArrow(_next_level(forest.largest, k, recall), "class long, level int, least double")
     more = queries.join(staged(after, "levels"), "class")
     found = found.union(forest.ascend(more, range(TREES), k + 1))
     return _answers(_best(found, k + 1), rows, classes, k, every)
 
 
 def _next_level(largest: dict[int, float], k: int, recall: float):
-    """How long a prefix neighbours share that are as near as the last one found; queries that went there already have no row."""
+    """How long a prefix neighbours share that are as near as the last one found, and how near that is; queries that went there already have no row."""
     def run(batches):
         for size, own, x in _by_size(batches):
             out, reach = [], norms(x) * largest[size]
             for i, (c, level, n, score) in enumerate(zip(*(own.column(name).to_pylist() for name in ("class", "level", "n", "score")), strict=True)):
                 if (n or 0) <= k:
-                    out.append((c, 0))
+                    out.append((c, 0, -math.inf))
                 elif level > level_for(score / reach[i], FIRST_TREES, recall):
                     then = level_for(score / reach[i], TREES, recall)
-                    out.append((c, then if 1 << then > TREES else 0))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32())], names=["class", "level"])
+                    out.append((c, then if 1 << then > TREES else 0, score))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())], names=["class", "level", "least"])
     return run
 
 
