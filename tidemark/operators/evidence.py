@@ -8,15 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text
+from tidemark.functions.order_stats import nth, ordered_values
 
 NUMBER_TEXT = r"^\s*[-+]?[0-9][0-9,]*(\.[0-9]+)?\s*$"
 
 
-def _upper_median(column: str) -> Column:
-    """The middle value; of two middle ones the greater."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
-
-
 def _unfold(df: DataFrame, structs: list[Column]) -> DataFrame:
     """One aggregation for all ``structs``, then a row for each."""
     one = df.agg(*(s.alias(f"s{i}") for i, s in enumerate(structs)))
@@ -67,9 +63,10 @@ def prefix_families(df: DataFrame, column: str, least: int = 3) -> DataFrame:
 def profile_change(df: DataFrame, day: str, at: str, amount: str) -> DataFrame:
     """Before and from a date on: rows, share of whole numbers, distinct values and median."""
     side = F.when(F.col(day) < F.lit(at).cast("timestamp_ntz"), "before").otherwise("after")
-    return df.filter(F.col(amount).isNotNull() & F.col(day).isNotNull()).groupBy(side.alias("side")).agg(
-        F.count("*").alias("n_rows"), F.round(F.avg((F.col(amount) == F.floor(amount)).cast("double")), 6).alias("whole_share"),
-        F.count_distinct(amount).alias("n_values"), _upper_median(amount).alias("median"))
+    rows = df.filter(F.col(amount).isNotNull() & F.col(day).isNotNull()).select(side.alias("side"), F.col(amount).alias("x"))
+    per = rows.groupBy("side", "x").agg(F.count("*").alias("c"))
+    facts = per.groupBy("side").agg(F.sum("c").alias("n_rows"), F.round(F.sum(F.when(F.col("x") == F.floor("x"), F.col("c")).otherwise(0)) / F.sum("c"), 6).alias("whole_share"), F.count("*").alias("n_values"))
+    return facts.join(F.broadcast(ordered_values(rows, ["side"], "x", {"median": nth(0.5)}).drop("n")), "side")  # two rows
 
 
 def weekday_rows(df: DataFrame, day: str) -> DataFrame:
@@ -83,7 +80,7 @@ def weekday_rows(df: DataFrame, day: str) -> DataFrame:
 def double_blocks(df: DataFrame, block: Column, times: float = 1.8) -> DataFrame:
     """Blocks of at least ``times`` as many rows as the median block."""
     n = df.groupBy(block.alias("block")).agg(F.count("*").alias("n_rows"))
-    middle = n.agg(_upper_median("n_rows").alias("median"))
+    middle = ordered_values(n, [], "n_rows", {"median": nth(0.5)}).drop("n")
     return n.join(F.broadcast(middle)).filter(F.col("n_rows") >= times * F.col("median")).select("block", "n_rows")
 
 
@@ -138,7 +135,9 @@ def never_credited(df: DataFrame, entity: str, period: Column, credit: Column, l
 def unit_groups(df: DataFrame, group: str, quantity: str, price: str) -> DataFrame:
     """Median quantity and price of each group, and whether its unit differs: at most a third of every other
     group's quantity and at least one and a half times every other group's price."""
-    m = df.groupBy(group).agg(_upper_median(quantity).alias("quantity"), _upper_median(price).alias("price"))
+    q, p = (ordered_values(df, [group], c, {name: nth(0.5)}).drop("n") for c, name in ((quantity, "quantity"), (price, "price")))
+    named = p.select(F.col(group).alias("_group"), "price")
+    m = q.join(named, F.col(group).eqNullSafe(F.col("_group")), "full").select(F.coalesce(group, "_group").alias(group), "quantity", "price")
     # the two least and the two greatest medians are enough to leave each group out
     low = m.orderBy("quantity").limit(2).agg(F.sort_array(F.collect_list("quantity")).alias("q"))
     high = m.orderBy(F.desc("price")).limit(2).agg(F.sort_array(F.collect_list("price"), asc=False).alias("p"))

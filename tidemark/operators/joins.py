@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import norm_key
+
 
 def unmatched(df: DataFrame, ref: DataFrame, key: str, ref_key: str) -> DataFrame:
-    """Rows whose key has no partner, and how many different values are missing. Null keys aren't counted."""
-    rows = df.filter(F.col(key).isNotNull()).join(ref.select(F.col(ref_key).alias(key)).distinct(), key, "left_anti")
-    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_values"))
+    """Rows whose key has no partner, and how many different values are missing. Null and blank keys aren't counted.
+
+    Texts are compared by the common equality (case, outer and repeated white space, end marks and leading zeros aside),
+    numbers and dates as they are; a text key and a number are compared as texts."""
+    kinds = dict(df.dtypes)[key], dict(ref.dtypes)[ref_key]
+    own, other = norm_key(F.col(key), kinds[0]), norm_key(F.col(ref_key), kinds[1])
+    if ("string" in kinds) and kinds[0] != kinds[1]:
+        own, other = own.cast("string"), other.cast("string")
+    counts = df.select(own.alias("_k")).filter("_k is not null").groupBy("_k").agg(F.count("*").alias("n"))
+    rows = counts.join(ref.select(other.alias("_k")).distinct(), "_k", "left_anti")
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_values"))
 
 
 def outside_windows(lines: DataFrame, windows: DataFrame, key: str, day: str, start: str, end: str, least: int = 5, share: float = 0.05) -> DataFrame:
@@ -42,7 +52,7 @@ def reference_price(lines: DataFrame, ref: DataFrame, key: str, day: str, start:
 
     Rows without a price don't count; a null start or end is open. Of several rows that cover a day the one that
     starts first is taken, then the one that ends first, then the lowest price. It is chosen once for each key and
-    day, so no line is repeated.
+    day, so no line is repeated. A column ``reference`` of the lines gives way to the new one.
     """
     r = ref.filter(F.col(price).isNotNull()).select(F.col(key).alias("_k"), F.coalesce(F.col(start).cast("date"), F.lit("0001-01-01").cast("date")).alias("_a"),
                                                     F.coalesce(F.col(end).cast("date"), F.lit("9999-12-31").cast("date")).alias("_z"), F.col(price).alias("_price"))
@@ -50,7 +60,7 @@ def reference_price(lines: DataFrame, ref: DataFrame, key: str, day: str, start:
     days = lines.select(F.col(key).alias("_k"), F.col(day).cast("date").alias("_d")).distinct()
     covering = days.join(r, "_k").filter((F.col("_n") == 1) | F.col("_d").between(F.col("_a"), F.col("_z")))
     y = covering.groupBy("_k", "_d").agg(F.min(F.struct("_a", "_z", "_price")).alias("_first")).select("_k", "_d", F.col("_first._price").alias("reference"))
-    x, y = lines.alias("x"), y.alias("y")
+    x, y = lines.drop("reference").alias("x"), y.alias("y")
     return x.join(y, (F.col(f"x.{key}") == F.col("y._k")) & F.col(f"x.{day}").cast("date").eqNullSafe(F.col("y._d")), "left").select("x.*", "y.reference")
 
 

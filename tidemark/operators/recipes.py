@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import norm_key
+from tidemark.functions.order_stats import nth, ordered_values
 from tidemark.functions.scratch import staged
 
 CENT = 0.0051
@@ -127,19 +129,72 @@ def group_blank_rate(df: DataFrame, group: str, column: str) -> DataFrame:
 
 
 def entity_outliers(df: DataFrame, entity: str, amount: str) -> DataFrame:
-    """Entities whose total lies beyond the third quartile by three times the quartiles' distance."""
-    t = df.groupBy(entity).agg(F.sum(amount).cast("double").alias("total"))
-    q = t.agg(F.percentile("total", 0.25).alias("q1"), F.percentile("total", 0.75).alias("q3"))
+    """Entities whose total lies beyond the third quartile by three times the quartiles' distance.
+
+    Quartiles are elements: those after a quarter and three quarters of the sorted totals. Rows without an entity don't count."""
+    t = staged(df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.sum(amount).cast("double").alias("total")), "totals")
+    q = ordered_values(t, [], "total", {"q1": nth(0.25), "q3": nth(0.75)}).drop("n")
     return t.join(F.broadcast(q)).filter(F.col("total") > F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).select(entity, F.round("total", 2).alias("total"))
 
 
-def ratio_outliers(df: DataFrame, key: list[str], a: str, b: str, z: float = 5.0) -> DataFrame:
-    """Rows whose ratio a / b is over ``z`` robust deviations (1.4826 times the median distance) from the median."""
-    r = df.filter(F.col(b) != 0).select(*key, (F.col(a) / F.col(b)).alias("ratio"))
-    m = r.agg(F.percentile("ratio", 0.5).alias("med"))
-    d = r.join(F.broadcast(m)).withColumn("dist", F.abs(F.col("ratio") - F.col("med")))
-    mad = d.agg((F.percentile("dist", 0.5) * 1.4826).alias("mad"))
-    return d.join(F.broadcast(mad)).filter((F.col("mad") > 0) & (F.col("dist") > z * F.col("mad"))).select(*key, F.floor("ratio").alias("ratio"))
+def ratio_outliers(df: DataFrame, key: list[str], base: str, other: str, z: float = 5.0) -> DataFrame:
+    """``key..., ratio``: rows whose ratio ``other`` / ``base`` is over ``z`` robust deviations (1.4826 times the median distance) from the median.
+
+    Nothing is said of fewer than 30 rows (with a base above zero and another of zero or more), where the 5th and the
+    95th of 100 ratios are more than 2.5 times apart or not above zero, where half the ratios are one, or where more than
+    one row in a hundred, or three, would be named (one may always be). Medians are upper elements.
+    """
+    r = df.filter((F.col(base) > 0) & (F.col(other) >= 0)).select(*(F.col(k).alias(f"_{k}") for k in key), (F.col(other).cast("double") / F.col(base)).alias("ratio"))
+    r = staged(r, "ratios")
+    facts = ordered_values(r, [], "ratio", {"lo": F.floor(F.col("n") * 0.05), "hi": F.greatest(F.lit(0), F.floor(F.col("n") * 0.95) - 1), "med": nth(0.5)}).filter("n >= 30 and lo > 0 and hi <= 2.5 * lo")
+    d = r.join(F.broadcast(facts)).withColumn("dist", F.abs(F.col("ratio") - F.col("med")))
+    mad = ordered_values(d, [], "dist", {"mad": nth(0.5)}).drop("n").filter("mad > 0")
+    far = d.join(F.broadcast(mad)).filter(F.col("dist") / (F.col("mad") * 1.4826) > z)
+    few = far.agg(F.count("*").alias("_far"), F.max("n").alias("_all")).filter("_far <= greatest(1, least(3, 0.01 * _all))")
+    return far.join(F.broadcast(few.select("_far"))).select(*(F.col(f"_{k}").alias(k) for k in key), F.round("ratio", 4).alias("ratio"))
+
+
+def numbered_ids(df: DataFrame, column: str) -> DataFrame:
+    """``id, why``: ids whose number stands out: a test word in it (word), all nines or all zeros of three digits or more
+    (digits), or a number beyond the third quartile of its letter prefix by three times the quartiles' distance, in
+    a prefix of ten ids or more (far). Ids are told apart by the common equality and shown as the least spelling; blank ones don't count."""
+    kind = dict(df.dtypes)[column]
+    ids = df.groupBy(norm_key(F.col(column), kind).cast("string").alias("k")).agg(F.min(F.trim(F.col(column).cast("string"))).alias("id")).filter("k is not null")
+    form = r"^([A-Za-z]*)[-_ ]?([0-9]+)$"
+    digits = F.regexp_extract("id", form, 2)
+    p = staged(ids.select("id", F.upper(F.regexp_extract("id", form, 1)).alias("prefix"), F.when(digits != "", digits).alias("digits")).withColumn("number", F.expr("try_cast(digits as decimal(38, 0))")), "ids")
+    quarters = ordered_values(p.filter("number is not null"), ["prefix"], "number", {"q1": nth(0.25), "q3": F.floor(F.col("n") * 3 / 4)}).filter("n >= 10")
+    j = p.join(quarters.select("prefix", (F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).alias("limit")), "prefix", "left")
+    why = F.when(F.col("id").rlike("(?i)test|dummy|xxx"), "word").when(F.col("digits").rlike("^(000+|999+)$"), "digits").when(F.col("number") > F.col("limit"), "far")
+    return j.select("id", why.alias("why")).filter("why is not null")
+
+
+def idle_amounts(df: DataFrame, entity: str, amounts: list[str]) -> DataFrame:
+    """``entity, amount, n_rows, n_zero, share``: entities with an amount of zero (or none) on half their rows or more, six at least, where
+    95 % of the others' rows have it; ``share`` is that of the others. One aggregation; others are all rows less the own."""
+    kind = dict(df.dtypes)[entity]
+    zero = [F.count_if(F.coalesce(F.col(a) == 0, F.lit(True))).alias(f"z{i}") for i, a in enumerate(amounts)]
+    per = staged(df.groupBy(norm_key(F.col(entity), kind).alias("entity")).agg(F.count("*").alias("n_rows"), *zero).filter("entity is not null"), "zeros")
+    every = per.agg(F.sum("n_rows").alias("rows"), *(F.sum(f"z{i}").alias(f"a{i}") for i in range(len(amounts))))
+    tall = per.join(F.broadcast(every)).select("entity", "n_rows", "rows", F.inline(F.array(*(F.struct(F.lit(a).alias("amount"), F.col(f"z{i}").alias("n_zero"), F.col(f"a{i}").alias("zeros")) for i, a in enumerate(amounts)))))
+    rest, live = F.col("rows") - F.col("n_rows"), F.col("rows") - F.col("n_rows") - (F.col("zeros") - F.col("n_zero"))
+    hit = (F.col("n_zero") >= 6) & (2 * F.col("n_zero") >= F.col("n_rows")) & (rest > 0) & (live >= 0.95 * rest)
+    return tall.filter(hit).select("entity", "amount", "n_rows", "n_zero", F.round(live / rest, 6).alias("share"))
+
+
+def placeholder_ids(df: DataFrame, column: str, amount: str, day: str | None = None, cuts: list[str] = ()) -> DataFrame:
+    """``id, why, sign``: ids of :func:`numbered_ids` with one more sign: all rows on one side of a day at which the
+    table changes (side), or one amount on three rows or more where under 5 % of the others have that (constant)."""
+    kind = dict(df.dtypes)[column]
+    days = [F.min(F.to_date(day)).alias("first"), F.max(F.to_date(day)).alias("last")] if day else [F.lit(None).cast("date").alias("first"), F.lit(None).cast("date").alias("last")]
+    per = df.groupBy(norm_key(F.col(column), kind).cast("string").alias("k")).agg(F.min(F.trim(F.col(column).cast("string"))).alias("id"), F.count("*").alias("n"), F.count(amount).alias("f"), F.min(amount).alias("lo"), F.max(amount).alias("hi"), *days)
+    per = staged(per.filter("k is not null").withColumn("steady", F.expr("n >= 3 and f = n and lo = hi")), "entities")
+    every = per.agg(F.count("*").alias("all_ids"), F.count_if("steady").alias("all_steady"))
+    side = F.lit(False)
+    for c in cuts:
+        side = side | (F.col("last") < F.lit(c).cast("date")) | (F.col("first") >= F.lit(c).cast("date"))
+    sign = F.when(F.coalesce(side, F.lit(False)), "side").when(F.col("steady") & (F.col("all_steady") - 1 < 0.05 * (F.col("all_ids") - 1)), "constant")
+    return numbered_ids(df, column).join(per.join(F.broadcast(every)).select("id", sign.alias("sign")), "id").filter("sign is not null")
 
 
 def exclusive_prefixes(df: DataFrame, group: str, prefix: Column) -> DataFrame:

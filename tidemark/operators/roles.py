@@ -50,10 +50,10 @@ def column_roles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def money_column(df: DataFrame, columns: list[str]) -> DataFrame:
     """The column that money is added up from, one row or none: of the numeric columns whose header names no code,
-    rate or count, those with cents come first, then that of the largest sum, then the first name."""
+    rate or count, those with cents come first, then that whose sum is the largest, whichever its sign, then the first name."""
     kinds = dict(df.dtypes)
     held = [c for c in columns if kinds[c] in _NUMBERS or kinds[c].startswith("decimal")]
-    sums = [F.struct(F.lit(c).alias("column"), F.max(F.col(c).cast("double") % 1 != 0).alias("cents"), F.round(F.sum(F.abs(F.col(c).cast("double"))), 2).alias("total")) for c in held]
+    sums = [F.struct(F.lit(c).alias("column"), F.max(F.col(c).cast("double") % 1 != 0).alias("cents"), F.round(F.abs(F.sum(F.col(c).cast("double"))), 2).alias("total")) for c in held]
     none = "array<struct<column:string,cents:boolean,total:double>>"
     rows = df.agg(F.array(*sums).cast(none).alias("x")).select(F.inline("x"))
     fits = ~_names(F.col("column"), CODE_WORDS) & ~_names(F.col("column"), RATE_WORDS) & F.col("total").isNotNull()

@@ -186,7 +186,8 @@ def versions(t):
 SELECT count(*) AS n_lines, count(n.price) AS n_priced, round(sum(n.price), 2) AS total FROM lineitem l LEFT JOIN n ON n.k = l.l_partkey AND (n.n = 1 OR CAST(l.l_shipdate AS DATE) BETWEEN n.a AND n.z)""")
 def asof_price(t):
     lines = t("lineitem").withColumn("day", F.to_date("l_shipdate"))
-    priced = joins.reference_price(lines, _windows(t).filter("l_partkey % 4 <> 0"), "l_partkey", "day", "start", "end", "price")
+    ref = _windows(t).withColumn("price", F.when(F.col("l_partkey") % 4 != 0, F.col("price")))  # each fourth part has no price
+    priced = joins.reference_price(lines, ref, "l_partkey", "day", "start", "end", "price")
     return priced.agg(F.count("*").alias("n_lines"), F.count("reference").alias("n_priced"), F.round(F.sum("reference"), 2).alias("total"))
 
 
@@ -229,9 +230,9 @@ def twin_pairs(t):
 
 # recipes
 def _pareto_sql(entity, table, amount):
-    return f"""WITH g AS (SELECT {entity} AS e, sum({amount}) AS a FROM {table} WHERE {entity} IS NOT NULL GROUP BY 1 HAVING sum({amount}) > 0),
-r AS (SELECT coalesce(sum(a) OVER (ORDER BY a DESC, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g)
-SELECT count(*) FILTER (b < 0.8 * (SELECT sum(a) FROM g)) AS n_covering, count(*) AS n_entities FROM r HAVING count(*) >= 5"""
+    return f"""WITH g AS (SELECT {entity} AS e, sum({amount}) AS a FROM {table} WHERE {entity} IS NOT NULL AND {amount} IS NOT NULL GROUP BY 1), p AS (SELECT * FROM g WHERE a > 0),
+r AS (SELECT coalesce(sum(a) OVER (ORDER BY a DESC, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
+SELECT count(*) FILTER (b < 0.8 * (SELECT sum(a) FROM p)) AS n_covering, (SELECT count(*) FROM g) AS n_entities FROM r HAVING count(*) > 0 AND (SELECT count(*) FROM g) >= 5"""
 
 
 def _top_sql(entity, table, amount):
@@ -240,7 +241,7 @@ SELECT CAST(e AS VARCHAR) AS entity, round(a, 2) AS amount, round(a / (SELECT su
 
 
 for _name, _entity, _table, _amount in (("supplier_revenue", "l_suppkey", "lineitem", "l_extendedprice"), ("part_revenue", "l_partkey", "lineitem", "l_extendedprice"),
-                                        ("customer_orders", "o_custkey", "orders", "o_totalprice"), ("user_value", "user_id", "events", "value")):
+                                        ("customer_orders", "o_custkey", "orders", "o_totalprice"), ("customer_balance", "c_custkey", "customer", "c_acctbal"), ("user_value", "user_id", "events", "value")):
     QUERIES[f"pareto_{_name}"] = lambda spark, d, e=_entity, t=_table, a=_amount: recipes.pareto(spark.read.parquet(f"{d}/{t}.parquet"), e, a)
     ORACLE_SQL[f"pareto_{_name}"] = _pareto_sql(_entity, _table, _amount)
     QUERIES[f"top_share_{_name}"] = lambda spark, d, e=_entity, t=_table, a=_amount: recipes.top_share(spark.read.parquet(f"{d}/{t}.parquet"), e, a)
@@ -319,17 +320,70 @@ def group_blank_rate(t):
     return recipes.group_blank_rate(_labelled(t), "source", "quality")
 
 
-@query("""WITH g AS (SELECT user_id, sum(value) AS total FROM events GROUP BY 1), q AS (SELECT quantile_cont(total, 0.25) AS a, quantile_cont(total, 0.75) AS z FROM g)
+@query("""WITH g AS (SELECT user_id, sum(value) AS total FROM events WHERE user_id IS NOT NULL GROUP BY 1), l AS (SELECT list(total ORDER BY total) AS x, count(*) AS n FROM g),
+q AS (SELECT x[n // 4 + 1] AS a, x[3 * n // 4 + 1] AS z FROM l)
 SELECT user_id, round(total, 2) AS total FROM g, q WHERE total > z + 3 * (z - a)""")
 def outlier_iqr(t):
     return recipes.entity_outliers(t("events"), "user_id", "value")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS ratio FROM lineitem WHERE l_quantity <> 0), m AS (SELECT median(ratio) AS med FROM r),
-d AS (SELECT r.*, abs(ratio - med) AS dist FROM r, m), k AS (SELECT median(dist) * 1.4826 AS mad FROM d)
-SELECT l_orderkey, l_linenumber, CAST(floor(ratio) AS BIGINT) AS ratio FROM d, k WHERE mad > 0 AND dist > 5 * mad""")
+def _billed(t):
+    """Parts with a billed price within 3 % of their retail price, but for a few slips of ten times."""
+    slip = F.when(F.col("p_partkey").isin(77, 150), 10.0).otherwise(1.0)
+    return t("part").withColumn("billed", F.col("p_retailprice") * (1 + (F.col("p_partkey") % 7 - 3) / 100.0) * slip)
+
+
+def _ratio_sql(key, ratio, source):
+    return f"""WITH r AS (SELECT {key}, {ratio} AS ratio FROM {source}), l AS (SELECT list(ratio ORDER BY ratio) AS x, count(*) AS n FROM r),
+f AS (SELECT n, x[n * 5 // 100 + 1] AS lo, x[greatest(1, n * 95 // 100)] AS hi, x[n // 2 + 1] AS med FROM l), d AS (SELECT {key}, ratio, abs(ratio - med) AS dist, n FROM r, f WHERE n >= 30 AND lo > 0 AND hi <= 2.5 * lo),
+m AS (SELECT list(dist ORDER BY dist)[count(*) // 2 + 1] * 1.4826 AS mad FROM d), o AS (SELECT d.* FROM d, m WHERE mad > 0 AND dist / mad > 5)
+SELECT {key}, round(ratio, 4) AS ratio FROM o WHERE (SELECT count(*) FROM o) <= greatest(1, least(3, 0.01 * n))"""
+
+
+@query(_ratio_sql("p_partkey", "p_retailprice * (1 + (p_partkey % 7 - 3) / 100.0) * (CASE WHEN p_partkey IN (77, 150) THEN 10.0 ELSE 1.0 END) / p_retailprice", "part WHERE p_retailprice > 0"))
 def ratio_outliers(t):
-    return recipes.ratio_outliers(t("lineitem"), ["l_orderkey", "l_linenumber"], "l_extendedprice", "l_quantity")
+    return recipes.ratio_outliers(_billed(t), ["p_partkey"], "p_retailprice", "billed")
+
+
+@query(_ratio_sql("l_orderkey, l_linenumber", "l_extendedprice / l_quantity", "lineitem WHERE l_quantity > 0 AND l_extendedprice >= 0"))
+def ratio_outliers_spread(t):
+    """Prices of all parts spread out: no ratio is the norm, so no line is named."""
+    return recipes.ratio_outliers(t("lineitem"), ["l_orderkey", "l_linenumber"], "l_quantity", "l_extendedprice")
+
+
+def _ids(t):
+    """Orders' customers as written ids, with placeholders and outliers planted."""
+    key = F.col("o_orderkey")
+    written = F.when(key % 500 == 3, "TEST-1").when(key % 500 == 5, "C999999").when(key % 500 == 7, "C88000000").when(key % 500 == 9, "").otherwise(F.concat(F.lit("C"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")))
+    return t("orders").withColumn("who", written).withColumn("amount", F.when(key % 500 == 3, 1.0).otherwise(F.col("o_totalprice")))
+
+
+_IDS_SQL = """w AS (SELECT CASE o_orderkey % 500 WHEN 3 THEN 'TEST-1' WHEN 5 THEN 'C999999' WHEN 7 THEN 'C88000000' WHEN 9 THEN '' ELSE 'C' || lpad(o_custkey::VARCHAR, 6, '0') END AS who,
+CASE WHEN o_orderkey % 500 = 3 THEN 1.0 ELSE o_totalprice END AS amount FROM orders),
+i AS (SELECT who AS id, upper(regexp_extract(who, '^([A-Za-z]*)[-_ ]?([0-9]+)$', 1)) AS prefix, nullif(regexp_extract(who, '^([A-Za-z]*)[-_ ]?([0-9]+)$', 2), '') AS digits FROM w WHERE who <> '' GROUP BY 1),
+q AS (SELECT prefix, list(digits::BIGINT ORDER BY digits::BIGINT) AS x, count(*) AS n FROM i WHERE digits IS NOT NULL GROUP BY 1 HAVING count(*) >= 10),
+s AS (SELECT id, CASE WHEN regexp_matches(id, '(?i)test|dummy|xxx') THEN 'word' WHEN regexp_matches(digits, '^(000+|999+)$') THEN 'digits' WHEN digits::BIGINT > x[3 * n // 4 + 1] + 3 * (x[3 * n // 4 + 1] - x[n // 4 + 1]) THEN 'far' END AS why FROM i LEFT JOIN q USING (prefix))"""
+
+
+@query(f"WITH {_IDS_SQL} SELECT id, why FROM s WHERE why IS NOT NULL")
+def numbered_ids(t):
+    return recipes.numbered_ids(_ids(t), "who")
+
+
+@query(f"""WITH {_IDS_SQL}, e AS (SELECT who AS id, count(*) >= 3 AND min(amount) = max(amount) AS steady FROM w WHERE who <> '' GROUP BY 1), a AS (SELECT count(*) AS n, count(*) FILTER (steady) AS k FROM e)
+SELECT id, why, 'constant' AS sign FROM s JOIN e USING (id), a WHERE why IS NOT NULL AND steady AND k - 1 < 0.05 * (n - 1)""")
+def placeholder_ids(t):
+    return recipes.placeholder_ids(_ids(t), "who", "amount")
+
+
+@query("""WITH w AS (SELECT user_id, CASE WHEN user_id = 5 AND event_id % 4 <> 0 THEN 0 ELSE value + 1 END AS paid, CASE WHEN user_id % 2 = 0 THEN 0 ELSE value + 1 END AS often FROM events),
+p AS (SELECT user_id, count(*) AS n, count(*) FILTER (paid = 0) AS z, count(*) FILTER (often = 0) AS y FROM w WHERE user_id IS NOT NULL GROUP BY 1), a AS (SELECT sum(n) AS n, sum(z) AS z, sum(y) AS y FROM p),
+h AS (SELECT user_id AS entity, 'paid' AS amount, p.n AS n_rows, p.z AS n_zero, a.n - p.n AS rest, a.n - p.n - (a.z - p.z) AS live FROM p, a UNION ALL SELECT user_id, 'often', p.n, p.y, a.n - p.n, a.n - p.n - (a.y - p.y) FROM p, a)
+SELECT entity, amount, n_rows, n_zero, round(live / rest, 6) AS share FROM h WHERE n_zero >= 6 AND 2 * n_zero >= n_rows AND rest > 0 AND live >= 0.95 * rest""")
+def idle_amounts(t):
+    """One user's amount is planted as zero on three rows of four; an amount that half the users lack names nobody."""
+    paid = F.when((F.col("user_id") == 5) & (F.col("event_id") % 4 != 0), 0.0).otherwise(F.col("value") + 1)
+    return recipes.idle_amounts(t("events").withColumn("paid", paid).withColumn("often", F.when(F.col("user_id") % 2 == 0, 0.0).otherwise(F.col("value") + 1)), "user_id", ["paid", "often"])
 
 
 @query("""SELECT regexp_extract(p_name, '^([A-Za-z]+)', 1) AS prefix, min(p_brand) AS "only", count(*) AS n_rows FROM part GROUP BY 1 HAVING min(p_brand) = max(p_brand)""")
@@ -617,11 +671,19 @@ def column_roles(t):
     return roles.column_roles(o, _ROLE_COLUMNS)
 
 
-@query("""SELECT 'l_extendedprice' AS "column", round(sum(abs(l_extendedprice)), 2) AS total FROM lineitem""")
+@query("""SELECT 'l_extendedprice' AS "column", round(abs(sum(l_extendedprice)), 2) AS total FROM lineitem""")
 def money_column_lineitem(t):
     return roles.money_column(t("lineitem"), ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"])
 
 
+@query("""WITH m AS (SELECT o_totalprice * (CASE WHEN o_orderkey % 2 = 0 THEN 100.5 ELSE -100.5 END) AS moved, o_totalprice FROM orders), s AS (SELECT 'moved' AS "column", round(abs(sum(moved)), 2) AS total FROM m UNION ALL SELECT 'o_totalprice', round(abs(sum(o_totalprice)), 2) FROM m)
+SELECT * FROM s ORDER BY total DESC, "column" LIMIT 1""")
+def money_column_balanced(t):
+    """A column of large sums to and fro against one that adds up."""
+    moved = F.col("o_totalprice") * F.when(F.col("o_orderkey") % 2 == 0, 100.5).otherwise(-100.5)
+    return roles.money_column(t("orders").withColumn("moved", moved), ["moved", "o_totalprice", "o_orderkey"])
+
+
 @query("SELECT 'l_orderkey,l_partkey' AS columns, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS extra FROM lineitem")
 def smallest_key_lineitem(t):
     return roles.smallest_key(t("lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
@@ -664,3 +726,7 @@ def fixed_ratio_tax(t):
     tax = sums.select("doc", F.when(F.col("doc") % 2 == 0, "Tax ").otherwise("tax"), F.round(F.col("goods") * 0.0725, 2))
     fee = sums.select("doc", F.lit("fee"), -1.0 - F.col("doc") % 5)
     return ledger.fixed_ratio(goods.union(tax).union(fee), "doc", "cat", "v")
+
+
+# queries of other modules register themselves
+from tidemark.plans import detectors  # noqa: E402, F401
