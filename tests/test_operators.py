@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_number
-from tidemark.operators import fresh, graph, joins, keys, ledger, recipes, roles
+from tidemark.operators import fresh, graph, joins, keys, lattice, ledger, recipes, roles
 from tidemark.operators.rules import Rule, apply_rules
 
 
@@ -58,9 +58,9 @@ def test_roles_keys_and_runs(spark):
     assert got == {"doc_no": (False, False, True), "kind": (True, False, False), "branch": (True, True, False), "amount": (False, False, False)}
     assert [tuple(r) for r in roles.money_column(df, ["doc_no", "branch", "amount", "kind"]).collect()] == [("amount", 1785.0)]
     assert roles.money_column(df.limit(0), ["amount"]).count() == 0 and roles.money_column(df, ["kind"]).count() == 0
-    pairs = spark.createDataFrame([(a, b, c) for a in range(5) for b in range(5) for c in range(5)], "a int, b int, c int")
-    assert [tuple(r) for r in roles.smallest_key(pairs, ["a", "b", "c"]).collect()] == [("a,b,c", 0)]
-    assert roles.smallest_key(pairs.union(pairs), ["a", "b", "c"]).count() == 0 and roles.smallest_key(pairs.limit(0), ["a"]).count() == 0
+    pairs = spark.createDataFrame([(a, b, c) for a in range(5) for b in range(5) for c in range(5)], "a_no int, b_no int, c_no int")
+    assert [tuple(r) for r in lattice.table_key(pairs, ["a_no", "b_no", "c_no"]).collect()] == [("a_no,b_no,c_no", 0)]
+    assert lattice.table_key(pairs.union(pairs), ["a_no", "b_no", "c_no"]).count() == 0 and lattice.table_key(pairs.limit(0), ["a_no"]).count() == 0
     lines = spark.createDataFrame([("A ", f"2024-0{1 + i % 6}-01", 2.0 if i % 6 > 1 else 3.0, 2.0) for i in range(30)] + [(None, "2024-01-01", 2.0, 2.0), ("b", None, 2.0, 2.0), ("b", "2024-01-01", 2.0, None)], "m string, at string, p double, r double")
     assert [tuple(r) for r in roles.conformity_runs(lines, "m", "at", "p", "r").collect()] == [("a", "2024-03", 4, 20, 20)]
 

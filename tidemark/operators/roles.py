@@ -6,9 +6,6 @@ however many columns it has; only rows of a column each reach the driver where a
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import prod
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +18,6 @@ RATE_WORDS = ["count", "discount", "qty", "quantity", "rate", "size", "tax"]
 CODE_WORDS = ["code", "id", "key", "no", "number"]
 
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
-NEAR = 0.99
-
 
 def _names(header: Column, words: list[str]) -> Column:
     """Whether the header ends with one of the words; one of two letters must stand alone."""
@@ -60,33 +55,6 @@ def money_column(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.filter(fits).orderBy(F.desc("cents"), F.desc("total"), "column").limit(1).select("column", "total")
 
 
-def smallest_key(df: DataFrame, columns: list[str], near: float = NEAR) -> DataFrame:
-    """``columns, extra``: the smallest set of one to three columns that is a key (extra 0) or, if no set of that
-    size is, that ``near`` of the rows or more tell apart (extra: the rows over one for each key). No row if nothing
-    comes that close. Candidates are the six columns without blanks of the most values; a set whose counts can't
-    multiply up to the rows isn't counted, and sets of one size share an aggregation."""
-    spark, kinds = df.sparkSession, dict(df.dtypes)
-    rows = df.count()
-    per = {r["column"]: r for r in histogram(df, columns).groupBy("column").agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()}
-    able = sorted((c for c in columns if c in per and per[c]["n"] == rows and per[c]["d"] > 1), key=lambda c: (-per[c]["d"], c))[:6]
-    extras = {(c,): rows - per[c]["d"] for c in able}
-    for size in (1, 2, 3):
-        if size > 1:
-            sets = [s for s in combinations(able, size) if prod(per[c]["d"] for c in s) >= rows]
-            keys = {c: norm_key(F.col(c), kinds[c]) for c in able}
-            extras = {}
-            if sets:
-                # one row for each set and key, combined before the shuffle
-                tall = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.xxhash64(*(keys[c] for c in s)).alias("a"), F.xxhash64(F.lit(1), *(keys[c] for c in s)).alias("b")) for i, s in enumerate(sets)))).alias("x"))
-                counts = tall.groupBy("x.i", "x.a", "x.b").agg(F.lit(1).alias("one")).groupBy("i").count().collect()
-                extras = {sets[r["i"]]: rows - r["count"] for r in counts}
-        close = {s: e for s, e in extras.items() if e <= (1 - near) * rows}
-        if close:
-            best = min(close, key=lambda s: (close[s], [able.index(c) for c in s]))
-            return spark.createDataFrame([(",".join(best), close[best])], "columns string, extra long")
-    return spark.createDataFrame([], "columns string, extra long")
-
-
 def conformity_runs(lines: DataFrame, group: str, day: str, price: str, reference: str, least_months: int = 3, least_lines: int = 10) -> DataFrame:
     """Groups whose prices follow the reference from some month on: ``group, since, n_months, n_lines, n_at``.
 

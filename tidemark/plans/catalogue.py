@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_text, parse_date, parse_number
-from tidemark.operators import evidence, fresh, graph, joins, keys, ledger, profile, recipes, roles, timeline
+from tidemark.operators import evidence, fresh, graph, joins, keys, lattice, ledger, profile, recipes, roles, timeline
 from tidemark.operators.rules import Rule, apply_rules, rule_effect
 
 QUERIES: dict = {}
@@ -686,14 +686,14 @@ def money_column_balanced(t):
 
 @query("SELECT 'l_orderkey,l_partkey' AS columns, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS extra FROM lineitem")
 def smallest_key_lineitem(t):
-    return roles.smallest_key(t("lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
+    return lattice.table_key(t("lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
 
 
 # every hundredth customer is there twice
 @query("SELECT 'c_custkey' AS columns, count(*) FILTER (c_custkey % 200 = 0) AS extra FROM customer")
 def near_key_customer(t):
     c = t("customer")
-    return roles.smallest_key(c.union(c.filter("c_custkey % 200 = 0")), ["c_custkey", "c_nationkey", "c_mktsegment"])
+    return lattice.table_key(c.union(c.filter("c_custkey % 200 = 0")), ["c_custkey", "c_nationkey", "c_mktsegment"])
 
 
 # one flag follows the list throughout, one from a day on, one with exceptions
@@ -729,4 +729,4 @@ def fixed_ratio_tax(t):
 
 
 # queries of other modules register themselves
-from tidemark.plans import detectors  # noqa: E402, F401
+from tidemark.plans import detectors, structure  # noqa: E402, F401
