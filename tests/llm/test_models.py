@@ -76,3 +76,24 @@ def test_held_out_accuracy(spark):
     lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()}
     rows = [r for r in language.op2_language(spark, SMALL).collect() if r["held_out"]]
     assert len(rows) > 20 and sum(lang[r["doc_id"]] == r["lang_pred"] for r in rows) / len(rows) > 0.95
+
+
+def test_a_dirty_language_column_and_long_texts(spark):
+    from tidemark.llm import language
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('some words of text ', id) as text", "case when id % 3 = 0 then 'en' else concat('lang', id) end as lang")
+    rows = language.identify(docs).collect()
+    assert len(rows) == 3000 and len({r["lang_pred"] for r in rows}) <= language.LANGUAGES
+    words = [" ".join(f"w{i * 7919 % 4001}é" for i in range(150_000)), "short", None, "x" * 3]
+    bits, letters = language.presence(words)
+    apart = [language.presence([w])[0][0] for w in words]
+    assert (bits == apart).all() and letters.tolist() == [True, True, False, True]
+
+
+def test_presence_in_chunks_is_presence_at_once(monkeypatch):
+    from tidemark.llm import language
+
+    texts = ["the quick brown fox", "", None, "jumps over the lazy dog " * 9, "a", "çé"]
+    want = language.presence(texts)[0]
+    monkeypatch.setattr(language, "CHUNK", 7)
+    assert (language.presence(texts)[0] == want).all()

@@ -20,6 +20,8 @@ from tidemark.llm.common import text_slices
 
 LENGTHS, SLOTS = (2, 3, 4), 1 << 15
 LANDMARKS, SAMPLE = 64, 400  # of each language at most: landmarks, and rows that the regression is fitted on
+LANGUAGES, ROWS = 128, 6_000  # languages that are learned, the most frequent, and rows of all of them
+CHUNK = 1 << 19  # bytes whose n-grams are worked out at once
 RIDGE = 0.1
 NONE = "und"
 _SPACED = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -34,18 +36,20 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """For each text and n-gram length the places that occur (bytes 0 and 1), and whether it has a letter."""
     raw = [b" " + (t or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED) + b" " for t in texts]
     letters = np.array([_has_letter(t or "", r) for t, r in zip(texts, raw, strict=True)], bool)
-    b = np.frombuffer(b"".join(raw) + b"\0" * 4, np.uint8).astype(np.uint32)
-    sizes = np.array([len(r) for r in raw])
-    row = np.repeat(np.arange(len(raw)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
+    ends = np.cumsum([len(r) for r in raw])
+    whole = np.frombuffer(b"".join(raw) + b"\0" * max(LENGTHS), np.uint8)
     bits = np.zeros((len(raw), len(LENGTHS), SLOTS), np.uint8)
-    total, code = len(row), b[: len(row)].copy()
-    for n in range(1, max(LENGTHS)):
-        code = code << np.uint32(8) | b[n : n + total]
-        if n + 1 in LENGTHS:
-            k, ok = LENGTHS.index(n + 1), left > n
-            place = (code * _MULTIPLY) >> np.uint32(32 - SLOTS.bit_length() + 1)
-            bits[row[ok], k, place[ok]] = 1
+    for at in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):  # bytes behind a chunk end its last n-grams
+        to = min(at + CHUNK, int(ends[-1]))
+        b = whole[at : to + max(LENGTHS)].astype(np.uint32)
+        row = np.searchsorted(ends, np.arange(at, to), "right")
+        left, total, code = ends[row] - np.arange(at, to), to - at, b[: to - at].copy()
+        for n in range(1, max(LENGTHS)):
+            code = code << np.uint32(8) | b[n : n + total]
+            if n + 1 in LENGTHS:
+                k, ok = LENGTHS.index(n + 1), left > n
+                place = (code * _MULTIPLY) >> np.uint32(32 - SLOTS.bit_length() + 1)
+                bits[row[ok], k, place[ok]] = 1
     return bits, letters
 
 
@@ -113,20 +117,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on at most ``sample`` rows of each language: those of the smallest hash of doc_id and text,
-    with a lang that isn't null and outside the held-out fold (a null doc_id isn't held out). The languages
-    are counted without reading texts; a bound on the hash leaves about twice the sample, of which each
-    partition passes on at most ``sample`` rows of a language. Only packed presence vectors of the sample reach the driver."""
+    """Fit on at most ``sample`` rows of each of the ``LANGUAGES`` most frequent languages (then by name), and on about ``ROWS`` of all:
+    those of the smallest hash of doc_id and text, with a lang that isn't null and outside the held-out fold (a
+    null doc_id isn't held out). The languages are counted without reading texts; a bound on the hash leaves about
+    twice the sample, of which each partition passes on at most ``sample`` rows of a language. Only packed presence
+    vectors of the sample reach the driver."""
     open_rows = docs.filter(F.col("lang").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
-    counts = {r["lang"]: r["count"] for r in open_rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
+        return fit([], landmarks, ridge)
+    sample = min(sample, max(1, ROWS // len(counts)))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) / 1e9
-    take = F.lit(False)
-    for lang, n in counts.items():
-        take = take | ((F.col("lang") == lang) & (place < min(1.0, 2 * sample / n)))
+    bound = F.element_at(F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 2 * sample / n)))), F.col("lang"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    chosen = open_rows.filter(take).select("lang", "text", "doc_id", place.alias("place")).withColumn("first", first).filter(F.col("first") <= sample)
-    rows = chosen.select("lang", "text").mapInArrow(_presence_rows, "lang string, bits binary") if counts else None
-    return fit(sorted((r["lang"], bytes(r["bits"])) for r in rows.collect()) if counts else [], landmarks, ridge)
+    chosen = open_rows.filter(place < bound).select("lang", "text", "doc_id", place.alias("place")).withColumn("first", first).filter(F.col("first") <= sample)
+    rows = chosen.select("lang", "text").mapInArrow(_presence_rows, "lang string, bits binary")
+    return fit(sorted((r["lang"], bytes(r["bits"])) for r in rows.collect()), landmarks, ridge)
 
 
 def _predict(model):
