@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import staged
+
 
 def value_changes(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """Values that are new and values that are gone, counted by kind."""
@@ -28,3 +30,88 @@ def schema_changes(old: DataFrame, new: DataFrame) -> dict[str, list[str]]:
     """Added, removed and retyped columns, from the schemas alone."""
     a, b = dict(old.dtypes), dict(new.dtypes)
     return {"added": sorted(set(b) - set(a)), "removed": sorted(set(a) - set(b)), "retyped": sorted(c for c in a if c in b and a[c] != b[c])}
+
+
+FEW, OVERLAP = 60, 0.9  # values that a column may have to be compared value by value, and the share that a rename keeps
+_TYPES = {"tinyint": "number", "smallint": "number", "int": "number", "bigint": "number", "float": "number", "double": "number", "boolean": "bool", "date": "date", "string": "text"}
+
+
+def _type(kind: str) -> str:
+    return "number" if kind.startswith("decimal") else "date" if kind.startswith("timestamp") else _TYPES.get(kind, kind)
+
+
+def renamed_columns(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``from, to, shared``: columns that are gone, each with the first new column of its type and shape, which no other takes.
+
+    The shape is the same if nine tenths of the old values (written as text) are among the new ones, where both have at most 60; else if
+    the numbers of different values differ by a tenth of the new at most, or by two. ``shared`` counts the values of both. Columns
+    without values are no candidates; columns are taken in their order, which settles ties."""
+    spark = old.sparkSession
+    gone, fresh = [c for c in old.columns if c not in new.columns], [c for c in new.columns if c not in old.columns]
+    sides = []
+    for df, columns, side in ((old, gone, "old"), (new, fresh, "new")):
+        if columns:
+            tall = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns)))).filter("v is not null")
+            sides.append(tall.distinct().withColumn("side", F.lit(side)))
+    none = spark.createDataFrame([], "`from` string, `to` string, shared long")
+    if len(sides) < 2:
+        return none
+    values = staged(sides[0].union(sides[1]), "values")
+    n = {(r["side"], r["column"]): r["n"] for r in values.groupBy("side", "column").agg(F.count("*").alias("n")).collect()}  # a row a column
+    few = [c for k, c in n if n[k, c] <= FEW]
+    small = values.filter(F.col("column").isin(few))
+    both = small.filter("side = 'old'").select(F.col("column").alias("a"), "v").join(small.filter("side = 'new'").select(F.col("column").alias("b"), "v"), "v").groupBy("a", "b").agg(F.count("*").alias("n")).collect()
+    shared = {(r["a"], r["b"]): r["n"] for r in both}
+    kinds, out = (dict(old.dtypes), dict(new.dtypes)), []
+    for a in gone:
+        for b in [b for b in fresh if b not in {x[1] for x in out}]:
+            x, y = n.get(("old", a), 0), n.get(("new", b), 0)
+            if not x or not y or _type(kinds[0][a]) != _type(kinds[1][b]):
+                continue
+            same = shared.get((a, b), 0) >= OVERLAP * x if x <= FEW and y <= FEW else abs(x - y) <= max(2, 0.1 * y)
+            if same:
+                out.append((a, b, shared.get((a, b), 0)))
+                break
+    return spark.createDataFrame(out, none.schema)
+
+
+def freshness(old: DataFrame, new: DataFrame, shown: int = 5) -> DataFrame:
+    """``kind, column, detail, n``: all that changed since a table was last seen, as one report; no row if nothing did.
+
+    rows: by how many there are more (or fewer); added, removed, renamed (``detail``: the new name) and retyped columns; new and gone: values
+    of columns with at most 60 (``detail``: up to ``shown`` of them, sorted); changed: columns with other values, told by their
+    fingerprints; moved: the same columns and values in another order of columns. A renamed column's values are compared under its new name.
+    """
+    spark = old.sparkSession
+    names = {r["from"]: r["to"] for r in renamed_columns(old, new).collect()}
+    was = old.select(*(F.col(c).alias(names.get(c, c)) for c in old.columns))
+    both = [c for c in was.columns if c in new.columns]
+    prints = [{r["column"]: (r["n_rows"], r["fingerprint"]) for r in column_fingerprints(d, both).collect()} if both else {} for d in (was, new)]
+    rows = [d.count() for d in (was, new)]
+    kinds = [dict(d.dtypes) for d in (was, new)]
+    changed = [c for c in both if prints[0][c] != prints[1][c]]
+    out = [("rows", None, None, rows[1] - rows[0])] if rows[0] != rows[1] else []
+    out += [("added", c, None, None) for c in new.columns if c not in was.columns] + [("removed", c, None, None) for c in was.columns if c not in new.columns]
+    out += [("renamed", a, b, None) for a, b in names.items()] + [("retyped", c, f"{kinds[0][c]} to {kinds[1][c]}", None) for c in both if kinds[0][c] != kinds[1][c]]
+    out += [("changed", c, None, None) for c in changed]
+    if not out and list(old.columns) != list(new.columns):
+        out.append(("moved", None, None, None))
+    report = spark.createDataFrame(out, "kind string, column string, detail string, n long")
+    if not changed:
+        return report
+    tall = [d.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in changed)))).filter("v is not null").distinct() for d in (was, new)]
+    values = tall[0].withColumn("w", F.lit(1)).union(tall[1].withColumn("w", F.lit(2))).groupBy("column", "v").agg(F.sum("w").alias("w"))
+    values = staged(values, "values")
+    few = values.groupBy("column").agg(F.count_if(F.expr("w % 2 = 1")).alias("x"), F.count_if(F.expr("w >= 2")).alias("y")).filter(f"x between 1 and {FEW} and y between 1 and {FEW}").select("column")
+    lists = values.filter("w < 3").join(F.broadcast(few), "column").groupBy("column", "w").agg(F.array_sort(F.collect_list("v")).alias("v"))  # at most 60 a column
+    return report.union(lists.select(F.when(F.col("w") == 2, "new").otherwise("gone"), "column", F.array_join(F.slice("v", 1, shown), ", "), F.size("v").cast("long")))
+
+
+def aged_notes(notes: DataFrame, on: str) -> DataFrame:
+    """Notes (columns ``as_of, stale_after``) that are to be looked at again on a day: ``+30d`` counts from ``as_of`` (the day itself
+    if it is null), a date stands for itself; null, blank, ``on-change`` and what can't be read never age."""
+    rule, today = F.trim("stale_after"), F.lit(on).cast("date")
+    days = F.expr("try_cast(regexp_extract(trim(stale_after), '^[+]([0-9]+)d$', 1) as int)")
+    base = F.coalesce(F.expr("try_cast(substring(as_of, 1, 10) as date)"), today)
+    end = F.when(rule.rlike(r"^\+[0-9]+d$"), F.date_add(base, days)).when(rule.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.expr("try_cast(substring(trim(stale_after), 1, 10) as date)"))
+    return notes.filter(F.coalesce(today > end, F.lit(False)))
