@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,23 +87,39 @@ def _cut(path: str, end_id: int, capacity: int, groups: int, with_ids: bool):
                 arrays = [pa.array(cols[0], part.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"]
                 if with_ids:
-                    ends = np.cumsum([0, *cols[2]], dtype=np.int32)
-                    arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(pieces).astype(np.int32)))
+                    arrays.append(pa.array([_short(p) for p in pieces], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
     return run
 
 
+def _short(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each if they fit, else in four, with that size before them: they are shuffled so."""
+    size = 2 if int(ids.max()) < 1 << 16 else 4
+    return bytes([size]) + ids.astype(f"<u{size}").tobytes()
+
+
+def _lists(column: pa.ChunkedArray) -> pa.ListArray:
+    parts = [np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int32) for x in column.to_pylist()]
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate(parts))
+
+
 def _pack(capacity: int):
-    def run(pieces: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.Table.from_batches(list(batches))
         keys = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
         order = pc.sort_indices(pieces, sort_keys=keys).to_numpy()
         placed = first_fit_decreasing(pieces["length"].to_numpy()[order].tolist(), capacity)
-        # only the places are computed; rows stay where they are, so ids are never copied
+        # only the places are computed; rows stay where they are, and ids become integers a few rows at a time
         bins, offsets = (np.empty(len(order), np.int64) for _ in placed)
         bins[order], offsets[order] = placed
         bins += pieces["grp"][0].as_py() << 32
-        return pieces.drop_columns("grp").append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offsets))
+        out = pieces.drop_columns("grp").append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offsets))
+        for at in range(0, len(out), 128):
+            part = out.slice(at, 128)
+            if "ids" in part.column_names:
+                part = part.set_column(part.column_names.index("ids"), "ids", _lists(part["ids"]))
+            yield from part.combine_chunks().to_batches()
     return run
 
 
@@ -119,7 +136,8 @@ def pack_documents(docs: DataFrame, tokenizer: str = VOCABULARY, end_id: int = E
     id_type = docs.schema["doc_id"].dataType.simpleString()
     cols = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
     more = ", ids array<int>" if with_ids else ""
-    pieces = docs.select("doc_id", "text").mapInArrow(_cut(vocabulary(tokenizer), end_id, capacity, groups, with_ids), f"{cols}, grp long{more}")
+    packed = ", ids binary" if with_ids else ""
+    pieces = docs.select("doc_id", "text").mapInArrow(_cut(vocabulary(tokenizer), end_id, capacity, groups, with_ids), f"{cols}, grp long{packed}")
     return pieces.groupBy("grp").applyInArrow(_pack(capacity), f"{cols}{more}, sequence_id long, offset long")
 
 
