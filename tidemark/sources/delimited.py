@@ -21,8 +21,21 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(SEPARATORS, key=score)
 
 
-def load_delimited(spark: SparkSession, path: str, header: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, blank cells as null; a byte order mark in front of the first name is dropped."""
-    df = spark.read.csv(path, sep=sniff_separator(spark, path), header=header, encoding=encoding, multiLine=False)
-    df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
+def text_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether all lines are UTF-8, and whether some quoted field may hold a line end (a line with an odd number of quotes); one pass, no parsing."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    r = lines.agg(F.min(F.is_valid_utf8("value")), F.max(quotes % 2 == 1)).first()
+    return r[0] is not False, bool(r[1])
+
+
+def load_delimited(spark: SparkSession, path: str, header: bool = True, encoding: str | None = None) -> DataFrame:
+    """All columns as text, blank cells as null; a byte order mark in front of the first name is dropped.
+
+    Without ``encoding`` a file that isn't UTF-8 throughout is read as latin-1. Files are split among tasks unless a quoted field
+    holds a line end; then each file is one task, as only its beginning says which quotes open."""
+    valid, spans = text_facts(spark, path)
+    encoding = encoding or ("UTF-8" if valid else "ISO-8859-1")
+    df = spark.read.csv(path, sep=sniff_separator(spark, path), header=header, encoding=encoding, multiLine=spans, quote='"', escape='"')
+    df = df.toDF(*(c.lstrip("\ufeff").removeprefix("ï»¿").strip() for c in df.columns))
     return df.select(*(F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")).alias(c) for c in df.columns))

@@ -1,78 +1,32 @@
-"""Cells of spreadsheet packages as rows, one task a file."""
+"""Cells of spreadsheet packages that only Spark's readers reach: whole packages are handed to tasks, a file to each.
 
-from __future__ import annotations
+Where executors can open the files themselves, :mod:`tidemark.sources.package` reads a sheet a task instead.
+"""
 
-import io
-import re
-import zipfile
-from xml.etree import ElementTree
+from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MOST_BYTES = 512 << 20  # of one unpacked part; a larger one is refused
-MOST_FORMULA = 9216
-_CELLS = "file string, sheet string, r int, c int, kind string, s string, n double, formula string"
-_NAMES = ["file", "sheet", "r", "c", "kind", "s", "n", "formula"]
-
-
-def _local(element) -> str:
-    return element.tag.rpartition("}")[2]
-
-
-def _part(package: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    if package.getinfo(name).file_size > MOST_BYTES:
-        raise ValueError(f"{name} is larger than {MOST_BYTES} bytes")
-    data = package.read(name)
-    if b"<!DOCTYPE" in data[:4096]:
-        raise ValueError(f"{name} has a document type")
-    return ElementTree.fromstring(data)
-
-
-def _column(reference: str) -> int:
-    n = 0
-    for letter in re.match("[A-Z]+", reference)[0]:
-        n = n * 26 + ord(letter) - 64
-    return n
+from tidemark.sources.package import _NAMES, _TYPES, CELLS, open_package, shared_texts, sheet_cells, sheets_of
 
 
 def cells_of(file: str, data: bytes):
-    """Rows ``file, sheet, r, c, kind, s, n, formula`` of all filled cells, numbered from 1."""
-    with zipfile.ZipFile(io.BytesIO(data)) as package:
-        names = set(package.namelist())
-        texts = []
-        if "xl/sharedStrings.xml" in names:
-            texts = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in _part(package, "xl/sharedStrings.xml")]
-        targets = {x.get("Id"): x.get("Target") for x in _part(package, "xl/_rels/workbook.xml.rels")}
-        for sheet in (x for x in _part(package, "xl/workbook.xml").iter() if _local(x) == "sheet"):
-            target = targets[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))].lstrip("/")
-            root = _part(package, target if target.startswith("xl/") else f"xl/{target}")
-            for cell in (x for x in root.iter() if _local(x) == "c"):
-                parts = {_local(x): x for x in cell}
-                formula = (parts["f"].text or "")[:MOST_FORMULA] if "f" in parts else None
-                kind, value = cell.get("t", "n"), parts["v"].text if "v" in parts else None
-                if kind == "s":
-                    kind, text, number = "text", texts[int(value)], None
-                elif kind == "inlineStr":
-                    kind, text, number = "text", "".join(t.text or "" for t in cell.iter() if _local(t) == "t"), None
-                elif kind == "n":
-                    kind, text, number = "number", None, None if value is None else float(value)
-                else:
-                    kind, text, number = {"b": "bool", "e": "error", "str": "text", "d": "date"}.get(kind, "text"), value, None
-                if text or number is not None or formula:
-                    at = cell.get("r")
-                    yield file, sheet.get("name"), int(re.search("[0-9]+", at)[0]), _column(at), kind, text, number, formula and f"={formula}"
+    """Rows ``file, sheet, r, c, kind, s, n, formula`` of all filled cells, numbered from 1, some thousand at a time."""
+    with open_package(data) as package:
+        texts = shared_texts(package)
+        for sheet, part in sheets_of(package):
+            for rows in sheet_cells(package, part, texts):
+                yield [(file, sheet, *r) for r in rows]
 
 
 def _read(batches):
-    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string()]
     for b in batches:
         for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows = list(cells_of(path.rpartition("/")[2], data))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
+            for rows in cells_of(path.rpartition("/")[2], data):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
 def load_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all workbooks under ``path``; an unreadable package fails, a blank one gives no rows."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, _CELLS)
+    """Cells of all workbooks under ``path``; a hostile or unreadable package fails, a blank one gives no rows."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, CELLS)
