@@ -48,7 +48,7 @@ def column_semantics(df: DataFrame, columns: list[str] | None = None) -> DataFra
     upper = F.col("k").rlike("[0-9]") | (F.length("k") <= 3)
     per = hist.groupBy("column").agg(F.sum("n").alias("n_filled"), F.count("*").alias("n_distinct"), F.min(whole).alias("whole"), F.min(number).alias("low"), F.max(number).alias("high"),
                                      (F.sum(F.length("k") * F.col("n")) / F.sum("n")).alias("width"), F.min(F.length("k")).alias("narrow"), F.max(F.length("k")).alias("wide"),
-                                     (F.sum(F.when(~F.col("k").endswith(" 00:00:00.000000"), F.col("n")).otherwise(0)) / F.sum("n")).alias("timed"), F.avg(upper.cast("double")).alias("upper"))
+                                     (F.sum(F.when((F.length("k") > 10) & ~F.col("k").endswith(" 00:00:00.000000"), F.col("n")).otherwise(0)) / F.sum("n")).alias("timed"), F.avg(upper.cast("double")).alias("upper"))
     every = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(columns)], "column string, place int")
     per = every.join(per, "column", "left").crossJoin(F.broadcast(df.agg(F.count("*").alias("n_rows")))).withColumn("type", types[F.col("column")])  # one row
     name, t = F.col("column"), F.col("type")

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import lattice, rowsets, totals
+from tidemark.operators import fresh, lattice, ranges, relations, rowsets, totals
 from tidemark.operators.roles import AMOUNT_WORDS, CODE_WORDS
 from tidemark.plans.catalogue import query
 
@@ -138,3 +138,78 @@ def _merged_sql():
 @query(_merged_sql())
 def merged_row_sets_orders(t):
     return rowsets.merge_row_sets(t("orders"), "o_orderkey", {n: F.expr(c) for n, c in _SETS.items()})
+
+
+_JOINED = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"], "orders": ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"], "supplier": ["s_suppkey", "s_name", "s_acctbal"]}
+
+
+def _joins_sql():
+    """Every pair of id columns of two tables by the rule, in the direction that it says."""
+    ids = {t: [c for c in cs if c.endswith("key")] for t, cs in _JOINED.items()}
+    pairs = [(t, a, u, b) for i, t in enumerate(_JOINED) for u in list(_JOINED)[i + 1 :] for a in ids[t] for b in ids[u]]
+    side = "SELECT '{t}' AS t, '{c}' AS c, {c} AS k, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 3"
+    sql = ["h AS (" + " UNION ALL ".join(side.format(t=t, c=c) for t, cs in ids.items() for c in cs) + ")", "z AS (SELECT t, c, count(*) AS d, sum(n) AS n FROM h GROUP BY 1, 2)",
+           "m AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(*) AS s, sum(a.n) AS ra, sum(b.n) AS rb FROM h a JOIN h b USING (k) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3)",
+           "l(ta, ca, tb, cb, hs) AS (VALUES " + ", ".join(f"('{t}', '{a}', '{u}', '{b}', {relations.header_similarity(a, b)})" for t, a, u, b in pairs) + ")",
+           """p AS (SELECT m.*, l.hs, s / x.d AS ab, s / y.d AS ba, x.d = x.n AS ua, y.d = y.n AS ub, ra / x.n AS cova, rb / y.n AS covb FROM m JOIN l USING (ta, ca, tb, cb) JOIN z x ON x.t = ta AND x.c = ca JOIN z y ON y.t = tb AND y.c = cb)""",
+           """o AS (SELECT *, CASE WHEN ua <> ub AND ((CASE WHEN ub THEN cova ELSE covb END) >= 0.6 OR (ab >= 0.8 AND ba >= 0.8)) THEN ub ELSE ab >= ba END AS f FROM p WHERE greatest(ab, ba) >= CASE WHEN hs < 0.3 THEN 0.5 ELSE 0.2 END)""",
+           """r AS (SELECT CASE WHEN f THEN ta ELSE tb END AS from_table, CASE WHEN f THEN ca ELSE cb END AS from_column, CASE WHEN f THEN tb ELSE ta END AS to_table, CASE WHEN f THEN cb ELSE ca END AS to_column, s AS n_shared,
+CASE WHEN f THEN ab ELSE ba END AS cont, CASE WHEN f THEN cova ELSE covb END AS cov, CASE WHEN f THEN ub ELSE ua END AS to_unique, hs FROM o)"""]
+    return "WITH " + ",\n".join(sql) + """ SELECT from_table, from_column, to_table, to_column, n_shared, round(cont, 4) AS values_matched, round(cov, 4) AS rows_matched, to_unique, round(hs, 2) AS header_similarity,
+CASE WHEN (cov >= 0.95 AND (hs >= 0.3 OR to_unique OR cont >= 0.98)) OR (hs >= 0.8 AND to_unique AND cov >= 0.6) THEN 'auto' ELSE 'ask' END AS band FROM r WHERE cov >= 0.2"""
+
+
+@query(_joins_sql())
+def join_bands(t):
+    """Amounts, dates and names of one table alone are no candidates, whatever values they share."""
+    return relations.discover_joins({name: t(name).select(*columns) for name, columns in _JOINED.items()})
+
+
+_MIXED = "CASE WHEN c_custkey % 3 = 0 THEN upper(n_name) WHEN c_custkey % 50 = 1 THEN 'elsewhere' ELSE 'K' || n_nationkey END"
+
+
+@query(f"""WITH m AS (SELECT {_MIXED} AS place FROM customer JOIN nation ON c_nationkey = n_nationkey), w AS (SELECT count(*) AS n_rows, count(*) FILTER (place LIKE 'K%') AS n_codes, count(*) FILTER (place LIKE 'NATION%') AS n_names FROM m)
+SELECT n_rows, n_codes, n_names, n_rows - n_codes - n_names AS n_other, n_codes + n_names >= 0.95 * n_rows AND least(n_codes, n_names) >= greatest(3, 0.02 * n_rows) AS mixed FROM w""")
+def code_or_name_customer(t):
+    """Nations written by code on some rows and by name on others."""
+    j = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.expr(_MIXED).alias("place"))
+    return relations.code_or_name(j, "place", t("nation").withColumn("code", F.concat(F.lit("K"), F.col("n_nationkey"))), "code", "n_name")
+
+
+_LATER = "o_orderkey % 97 <> 0"
+
+
+@query(f"""WITH o AS (SELECT count(*) AS n FROM orders), w AS (SELECT count(*) AS n FROM orders WHERE {_LATER})
+SELECT 'rows' AS kind, NULL AS "column", NULL AS detail, w.n - o.n AS n FROM o, w UNION ALL SELECT 'renamed', 'o_orderstatus', 'state', NULL UNION ALL SELECT 'added', 'channel', NULL, NULL
+UNION ALL SELECT 'changed', c, NULL, NULL FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('o_orderdate'), ('state'), ('o_orderpriority')) v(c)
+UNION ALL SELECT 'new', 'o_orderpriority', '9-NONE', 1 UNION ALL SELECT 'gone', 'o_orderpriority', '5-LOW', 1""")
+def freshness_orders(t):
+    """Orders seen again with rows gone, a column renamed, one added, and a priority written another way."""
+    old = t("orders")
+    new = old.filter(_LATER).withColumnRenamed("o_orderstatus", "state").withColumn("channel", F.lit("web")).withColumn("o_orderpriority", F.when(F.col("o_orderpriority") == "5-LOW", "9-NONE").otherwise(F.col("o_orderpriority")))
+    return fresh.freshness(old, new)
+
+
+def _book(t):
+    """Orders as sheets by status: an amount a row, and every 50 rows a formula that adds up the block above it."""
+    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey", "o_custkey", "o_totalprice")
+    o = t("orders").withColumn("r", F.row_number().over(w)).select(F.lit("book").alias("file"), F.col("o_orderstatus").alias("sheet"), "r", F.col("o_totalprice").alias("n"))
+    amounts = o.select("file", "sheet", "r", F.lit(2).alias("c"), F.lit("number").alias("kind"), F.lit(None).cast("string").alias("s"), "n", F.lit(None).cast("string").alias("formula"))
+    end = F.col("r") * 1
+    sums = o.filter("r % 50 = 0").select("file", "sheet", "r", F.lit(5).alias("c"), F.lit("number").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("n"), F.concat(F.lit("=SUM($B$"), end - 49, F.lit(":B"), end, F.lit(")"), F.when(F.col("r") > 50, F.concat(F.lit("+E"), end - 50)).otherwise("")).alias("formula"))
+    return amounts.union(sums)
+
+
+@query("""WITH o AS (SELECT o_orderstatus AS sheet, o_totalprice AS n, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey, o_custkey, o_totalprice) AS r FROM orders)
+SELECT sheet, CAST((r + 49) // 50 * 50 AS INTEGER) AS formula_row, count(*) AS n_cells, round(sum(n), 2) AS total FROM o WHERE (r + 49) // 50 * 50 <= (SELECT max(r) FROM o p WHERE p.sheet = o.sheet) GROUP BY 1, 2""")
+def range_sums_orders(t):
+    """What each formula's range adds up to, by containment of cells in ranges."""
+    book = _book(t)
+    boxes = ranges.read_boxes(book).filter("c1 = 2").select(F.col("file"), "to_sheet", "r1", "c1", "r2", "c2", F.col("r").alias("formula_row"))
+    return ranges.contained(book, boxes).groupBy("sheet", "formula_row").agg(F.count("*").alias("n_cells"), F.round(F.sum("n"), 2).alias("total"))
+
+
+@query("""WITH o AS (SELECT o_orderstatus AS sheet, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey, o_custkey, o_totalprice) AS r FROM orders)
+SELECT 'book|' || sheet || '|' || (r - 50) || '|5' AS src, 'book|' || sheet || '|' || r || '|5' AS dst FROM o WHERE r % 50 = 0 AND r > 50""")
+def formula_edges_orders(t):
+    return ranges.formula_edges(_book(t))
