@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import changes, names, oddities
+from tidemark.operators import changes, ledger, names, oddities, timeline
 from tidemark.plans.catalogue import query
 
 AT = "1998-03-01"  # the day from which orders are written another way
@@ -100,3 +100,36 @@ def share_and_late_evidence(t):
 def odd_groups_lines(t):
     lines, groups = odd_lines(t), ["shipper", "l_returnflag"]
     return oddities.odd_groups(lines, groups, oddities.group_evidence(lines, groups, "day", "amount", categories=["clerk", "status"]))
+
+
+_RUSH = "CASE WHEN o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-06-01' AND o_orderkey % 4 < 3 THEN 'RUSH' ELSE o_orderstatus END"
+
+
+@query(f"""WITH w AS (SELECT lower(o_orderpriority) AS g, lower({_RUSH}) AS c, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS m FROM orders WHERE o_orderdate IS NOT NULL),
+l AS (SELECT g, m, count(*) AS r FROM w GROUP BY 1, 2), p AS (SELECT g, c, min(m) AS onset, count(*) AS n, count(DISTINCT m) AS have FROM w GROUP BY 1, 2),
+k AS (SELECT c, min(onset) AS debut, count(*) AS held FROM p GROUP BY 1), a AS (SELECT count(*) AS pairs, min(onset) AS lo FROM p),
+j AS (SELECT p.g, p.c, any_value(p.onset) AS onset, any_value(p.n) AS n, any_value(p.have) AS have, count(*) FILTER (l.m < p.onset) AS b, count(*) FILTER (l.m >= p.onset) AS f, coalesce(sum(l.r) FILTER (l.m < p.onset), 0) AS rb, sum(l.r) AS r FROM p JOIN l USING (g) GROUP BY 1, 2)
+SELECT g AS grp, c AS code, (onset // 12) || '-' || lpad((onset % 12 + 1)::VARCHAR, 2, '0') AS month, b AS months_before, n AS n_rows FROM j JOIN k USING (c), a
+WHERE b >= 3 AND f >= 3 AND n >= 5 AND have >= 0.8 * f AND pow(1 - n / r, rb) <= 0.01 / pairs AND NOT (debut - lo >= 3 AND held >= 2)""")
+def onset_orders(t):
+    """Rush orders begin for one priority at a day and go on."""
+    return timeline.steady_onsets(t("orders").withColumn("code", F.expr(_RUSH)), "o_orderpriority", "code", "o_orderdate")
+
+
+@query("""WITH l AS (SELECT c_custkey, c_mktsegment AS account, c_custkey % 40 = 7 AS odd, c_custkey % 3 = 0 AS rev FROM customer), k AS (SELECT account, count(*) AS n, count(*) FILTER (NOT odd) AS own FROM l GROUP BY 1)
+SELECT c_custkey, account, 'debit' AS usual_side FROM l JOIN k USING (account) WHERE odd AND rev AND own >= 0.8 * n AND n >= 5 AND (SELECT count(*) FROM l JOIN k USING (account) WHERE odd AND rev AND own >= 0.8 * n AND n >= 5) >= 3""")
+def contra_lines_customer(t):
+    """Each fortieth line is on the credit side; those with a mark are told."""
+    odd = F.col("c_custkey") % 40 == 7
+    lines = t("customer").select("c_custkey", F.col("c_mktsegment").alias("account"), F.when(~odd, 10.5).alias("debit"), F.when(odd, 10.5).alias("credit"), F.when(F.col("c_custkey") % 3 == 0, "REV").otherwise("x").alias("memo"))
+    return ledger.contra_lines(lines, "account", "debit", "credit", marked=F.col("memo") == "REV").select("c_custkey", "account", "usual_side")
+
+
+@query("""WITH w AS (SELECT isodow(CAST(ts AS DATE)) IN (6, 7) AS off, CASE WHEN isodow(CAST(ts AS DATE)) IN (6, 7) THEN CASE WHEN event_id % 40 = 0 THEN 'usual' ELSE 'weekend' END ELSE 'usual' END AS code, event_type FROM events WHERE ts IS NOT NULL),
+g AS (SELECT 1 AS i, 'code' AS "column", code AS value, count(*) FILTER (off) AS n_off, count(*) FILTER (NOT off) AS n_on FROM w GROUP BY 3 UNION ALL SELECT 0, 'event_type', event_type, count(*) FILTER (off), count(*) FILTER (NOT off) FROM w GROUP BY 3)
+SELECT "column", value, n_off, n_on FROM g WHERE n_off >= 0.9 * (SELECT count(*) FROM w WHERE off) AND n_on <= 0.1 * n_off ORDER BY i LIMIT 1""")
+def off_cycle_code_events(t):
+    """Events of weekends, off a cycle of working days, share a code."""
+    weekend = F.weekday("ts") >= 5
+    code = F.when(weekend & (F.col("event_id") % 40 != 0), "weekend").otherwise("usual")
+    return timeline.off_cycle_code(t("events").withColumn("code", code), weekend, ["event_type", "code"])
