@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import norm_key
 from tidemark.functions.order_stats import nth, ordered_values
 from tidemark.functions.scratch import staged
+from tidemark.operators.profile import distinct_counts
 
 CENT = 0.0051
 
@@ -83,8 +84,9 @@ def blank_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def count_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
     """How many different values each column has, nulls apart."""
-    one = df.agg(*(F.count_distinct(c).alias(c) for c in columns))
-    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_distinct")) for c in columns))))
+    counts = distinct_counts(df, {c: [F.col(c)] for c in columns}).withColumnRenamed("name", "column")
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(F.broadcast(counts), "column", "left").select("column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
 def _priced(df: DataFrame, item: str, entity: str, period: Column, price: Column, quantity: Column) -> DataFrame:
