@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more. Its cleaner learns of them from the
+    driver's garbage collector, which on its own runs only when the driver's heap fills, long after disks do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the files of tables from :func:`staged` that nothing will read again."""
     for t in tables:
