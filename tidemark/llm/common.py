@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import discard, scratch_path, staged  # noqa: F401
+from tidemark.functions.scratch import discard, release, scratch_path, staged  # noqa: F401
 
 
 def text_slices(texts: pa.Array, limit: int = 500_000):
@@ -73,12 +73,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if _are_stars(e):
             break
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(staged(low, "large"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.filter("u <> v").distinct(), "star")
         low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        e = staged(small.filter("u <> v").distinct(), "edges")
+        before, e = e, staged(small.filter("u <> v").distinct(), "edges")
+        discard(before, least, large, low)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, discard, staged, text_slices
+from tidemark.llm.common import connected_components, discard, release, staged, text_slices
 from tidemark.llm.prefix_tree import SHARE, PrefixTree, Sequence
 from tidemark.llm.shingles import WIDTH, set_fingerprint, shingle_sets
 
@@ -326,6 +326,7 @@ def _prepared(docs: DataFrame, width: int, share):
     places = staged(kept.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id"), "places")
     texts = _Texts(known, places, width, order)
     bits = staged(texts.sets(None, _parity), "bits")
+    release(spark)
     return rows, classes, hits, kept, texts, bits
 
 
@@ -348,12 +349,15 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
             live = staged(live.join(mixed, "code"), "live")
         pairs = _star_pairs(live, turn, share) if star else _tree_pairs(live, hits, share)
         pairs = staged(_possible(pairs, bits, share), "pairs")
+        release(docs.sparkSession)
         found = None if pairs.isEmpty() else staged(_verify(pairs, texts, share), "links")
         joined = 0 if found is None else found.count()
         discard(pairs, live)
+        release(docs.sparkSession)
         if joined:
             links = found if links is None else links.union(found)
-            labels = staged(connected_components(links), "components")
+            old, labels = labels, staged(connected_components(links), "components")
+            discard(old)
         if not star:
             break
         turn += 1
