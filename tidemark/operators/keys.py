@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import discard, staged
 from tidemark.operators.profile import histogram
 
+FEW_REPEATED = 1_000_000  # combinations that are sent to every task
+
 
 def key_candidates(df: DataFrame, columns: list[str], most: int = 2) -> DataFrame:
     """For each set of up to ``most`` columns: rows, distinct combinations, and the share of rows that repeat one.
 
-    A row with a null in the set counts as a combination of its own kind. Sets of one size share an aggregation.
+    A row with a null in the set counts as a combination of its own kind. Sets are counted one by one, smaller ones
+    first: of each, only the combinations of more than one row are kept. A row that stands alone in a set stands alone in every
+    larger one, so a set is counted over the rows that repeat in the smaller one that has the fewest; if those
+    combinations are more than ``FEW_REPEATED``, over all rows.
     """
-    parts = []
+    n, extra, repeated = df.count(), {}, {}
     for size in range(1, most + 1):
-        sets = list(combinations(columns, size))
-        one = df.agg(F.count("*").alias("n"), *(F.count_distinct(F.struct(*s)).alias(f"d{i}") for i, s in enumerate(sets)))
-        parts.append(one.select(F.inline(F.array(*(F.struct(F.lit(",".join(s)).alias("columns"), F.col("n").alias("n_rows"), F.col(f"d{i}").alias("n_distinct")) for i, s in enumerate(sets))))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.withColumn("is_key", F.col("n_rows") == F.col("n_distinct"))
+        for s in combinations(columns, size):
+            inside = min((t for t in combinations(s, size - 1) if t in repeated), key=lambda t: repeated[t][1], default=None)
+            if inside and not repeated[inside][1]:
+                extra[s], repeated[s] = 0, repeated[inside]
+                continue
+            rows = df.select(*s)
+            if inside and repeated[inside][1] <= FEW_REPEATED:
+                keys = repeated[inside][0]
+                rows = rows.join(F.broadcast(keys.select(*(F.col(f"k{i}") for i in range(size - 1)))), reduce(and_, (F.col(c).eqNullSafe(F.col(f"k{i}")) for i, c in enumerate(inside))), "left_semi")
+            again = rows.groupBy(*(F.col(c).alias(f"k{i}") for i, c in enumerate(s))).agg(F.count("*").alias("n")).filter("n > 1")
+            if size < most:
+                again = staged(again, "repeated")
+            r = again.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra")).first()
+            extra[s] = r["extra"]
+            if size < most:
+                repeated[s] = again, r["groups"]
+    discard(*(keys for keys, _ in repeated.values()))
+    out = [(",".join(s), n, n - e, not e) for s, e in extra.items()]
+    return df.sparkSession.createDataFrame(out, "columns string, n_rows long, n_distinct long, is_key boolean")
 
 
 def near_key(df: DataFrame, columns: list[str]) -> DataFrame:
