@@ -1,12 +1,14 @@
 """Groups that behave unlike the others: weighted evidence about every value of every grouping column.
 
-Rows are unfolded once to (grouping, value). Counts by day, by the values of other columns and by amounts are
-aggregated from that, one row each, and every kind of evidence is a comparison of a group with its peers, the
+Counts by day, by the values of other columns and by amounts are aggregated for each grouping column, one row
+each, and every kind of evidence is a comparison of a group with its peers, the
 other groups of its column with 20 rows or more; a grouping has at most 30 values, so peers fit one array.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def grouped_rows(df: DataFrame, groupings: list[str], *keep: Column) -> DataFram
     return df.select(*keep, F.inline(sets)).filter("value is not null")
 
 
+def grouped_counts(df: DataFrame, groupings: list[str], by: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+    """``grouping, value``, ``by`` and ``sums`` over the rows of each group.
+
+    Rows are combined by the grouping columns as they are written, and only what that leaves gets the common equality:
+    a value that hangs on a count can't be filtered before it, which would bring every row to the equality."""
+    kinds, parts = dict(df.dtypes), []
+    for g in groupings:
+        raw = df.groupBy(F.col(g).alias("_g"), *(c.alias(name) for name, c in by.items())).agg(F.count("*").alias("_n"), *(F.sum(c).alias(name) for name, c in sums.items()))
+        parts.append(raw.select(F.lit(g).alias("grouping"), F.when(F.col("_n") > 0, norm_key(F.col("_g"), kinds[g]).cast("string")).alias("value"), *by, *sums))
+    every = reduce(DataFrame.union, parts).filter("value is not null")  # one column at least
+    return every.groupBy(*_KEY, *by).agg(*(F.sum(name).alias(name) for name in sums))
+
+
 def _others(rows: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     """``facts`` with the sorted ``column`` of each group's peers as ``peers``; null facts are no peers. Groups without two peers go."""
     every = facts.groupBy("grouping").agg(F.collect_list(F.struct(F.col(column).alias("x"), F.col("value").alias("v"))).alias("every"))
@@ -53,7 +68,7 @@ def _first_about(df: DataFrame, order: list[str]) -> DataFrame:
 
 def _dated(df: DataFrame, groupings: list[str], day: str, cuts: list[str], title_end: str | None) -> list[DataFrame]:
     """presence: rows of a part of the days only while others go on; late: first rows in the last tenth of the days, or after the title's end."""
-    days = grouped_rows(df.filter(F.col(day).isNotNull()), groupings, day_number(F.col(day)).alias("day")).groupBy(*_KEY, "day").agg(F.count("*").alias("c"))
+    days = grouped_counts(df.filter(F.col(day).isNotNull()), groupings, {"day": day_number(F.col(day))}, {"c": F.lit(1)})
     days = staged(days, "days")
     every = df.filter(F.col(day).isNotNull()).groupBy(day_number(F.col(day)).alias("day")).agg(F.count("*").alias("c"))
     every = every.withColumn("upto", F.sum("c").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))  # one row a day
@@ -160,8 +175,9 @@ def group_evidence(df: DataFrame, groupings: list[str], day: str | None = None,
     kinds = dict(df.dtypes)
     amounts = list(dict.fromkeys([*([money] if money else []), *measures]))
     cast = lambda c: F.col(c).cast("double")
-    facts = [f for c in amounts for f in (F.sum(F.abs(c)).alias(f"abs_{c}"), F.count_if(F.col(c) < 0).alias(f"minus_{c}"), F.count_if(F.col(c) != 0).alias(f"on_{c}"))]
-    sums = staged(grouped_rows(df, groupings, *(cast(c).alias(c) for c in amounts)).groupBy(*_KEY).agg(F.count("*").alias("n"), *facts), "sums")
+    ones = lambda hit: F.when(hit, 1).otherwise(0)
+    facts = {name: x for c in amounts for name, x in ((f"abs_{c}", F.abs(cast(c))), (f"minus_{c}", ones(cast(c) < 0)), (f"on_{c}", ones(cast(c) != 0)))}
+    sums = staged(grouped_counts(df, groupings, {}, {"n": F.lit(1)} | facts), "sums")
     total = df.agg(F.count("*").alias("rows"), *(f for c in amounts for f in (F.sum(F.abs(cast(c))).alias(f"all_{c}"), F.count_if(cast(c) != 0).alias(f"all_on_{c}"))))
     sums_clean = sums.drop(*(f"minus_{c}" for c in amounts)).join(sums.groupBy("grouping").agg(F.lit(1).alias("_one"), *(F.sum(f"minus_{c}").alias(f"minus_{c}") for c in amounts)), "grouping").drop("_one")
     parts = _dated(df, groupings, day, list(cuts), title_end) if day else []
@@ -175,8 +191,7 @@ def group_evidence(df: DataFrame, groupings: list[str], day: str | None = None,
         x = on.withColumns({"peer_n": F.sum("n").over(w) - F.col("n"), "peer_on": F.sum(f"on_{c}").over(w) - F.col(f"on_{c}"), "peers": F.count("*").over(w) - 1})
         parts.append(_rows_of("adjust", 1, F.lit(c), x.filter((F.col("peers") >= 2) & (F.col("peer_on") >= 0.1 * F.col("peer_n")) & (F.col(f"on_{c}") == 0) & (F.col("rows") - F.col(f"all_on_{c}") >= 0.3 * F.col("rows")) & (F.col("peer_on") / F.col("peer_n") * F.col("n") >= EXPECT))))
     if categories:
-        tall = grouped_rows(df, groupings, F.array(*(F.struct(F.lit(c).alias("column"), norm_key(F.col(c), kinds[c]).cast("string").alias("x")) for c in categories)).alias("_c"))
-        have = staged(tall.select(*_KEY, F.inline("_c")).filter("x is not null and column <> grouping").groupBy(*_KEY, "column", "x").agg(F.count("*").alias("c")), "values")
+        have = staged(_values_of(df, groupings, categories), "values")
         big = sums.filter(F.col("n") >= ROWS).select(*_KEY)
         distinct = staged(have.groupBy("column", "x").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("k")).filter("k >= 2"), "distinct")
         private = staged(_private(have, big, list(categories)), "private")
@@ -188,6 +203,19 @@ def group_evidence(df: DataFrame, groupings: list[str], day: str | None = None,
     return out.withColumn("_r", F.row_number().over(once)).filter("_r = 1 or kind = 'missing'").drop("_r")
 
 
+def _values_of(df: DataFrame, groupings: list[str], categories: list[str]) -> DataFrame:
+    """``grouping, value, column, x, c``: the values of categories within each group, with their rows."""
+    kinds, parts = dict(df.dtypes), []
+    for c in categories:
+        others = [g for g in groupings if g != c]
+        if others:
+            raw = grouped_counts(df.filter(F.col(c).isNotNull()), others, {"x": F.col(c)}, {"c": F.lit(1)})
+            parts.append(raw.select(*_KEY, F.lit(c).alias("column"), F.when(F.col("c") > 0, norm_key(F.col("x"), kinds[c]).cast("string")).alias("x"), "c"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "grouping string, value string, column string, x string, c long")
+    return reduce(DataFrame.union, parts).filter("x is not null").groupBy(*_KEY, "column", "x").agg(F.sum("c").alias("c"))
+
+
 def odd_groups(df: DataFrame, groupings: list[str], evidence: DataFrame) -> DataFrame:
     """``grouping, value, n_rows, weight, kinds`` of groups with a weight of 4 or more, one piece of it 3 or more.
 
@@ -197,12 +225,16 @@ def odd_groups(df: DataFrame, groupings: list[str], evidence: DataFrame) -> Data
     """
     asking = evidence.groupBy(*_KEY).agg(F.sum("weight").alias("weight"), F.max("weight").alias("strong"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
     asking = staged(asking.filter((F.col("weight") >= ASK) & (F.col("strong") >= STRONG)).drop("strong"), "asking")
-    rows = grouped_rows(df, groupings)
-    values = rows.groupBy(*_KEY).agg(F.count("*").alias("n_rows"))
+    values = grouped_counts(df, groupings, {}, {"n_rows": F.lit(1)})
     found = asking.join(values, _KEY).join(values.groupBy("grouping").agg(F.count("*").alias("k")), "grouping").collect()
     kinds, names = dict(df.dtypes), [(r["grouping"], r["value"]) for r in found]
-    hit = [F.coalesce(norm_key(F.col(g), kinds[g]).cast("string") == F.lit(v), F.lit(False)) for g, v in names]
-    both = df.agg(*(F.count_if(hit[i] & hit[j]).alias(f"b{i}_{j}") for i in range(len(names)) for j in range(len(names)) if i < j), F.count("*")).first() if len(names) > 1 else None
+    asked = list(dict.fromkeys(g for g, _ in names))
+    at = {g: f"_g{i}" for i, g in enumerate(asked)}
+    # rows that are written alike are combined, then brought to the common equality once
+    alike = df.groupBy(*(F.col(g).alias(at[g]) for g in asked)).agg(F.count("*").alias("_c")).select("_c", *(norm_key(F.col(at[g]), kinds[g]).cast("string").alias(at[g]) for g in asked))
+    hit = [F.coalesce(F.col(at[g]) == F.lit(v), F.lit(False)) for g, v in names]
+    pairs = [(i, j) for i in range(len(names)) for j in range(len(names)) if i < j]
+    both = alike.groupBy(*at.values()).agg(F.sum("_c").alias("_c")).agg(*(F.sum(F.when(hit[i] & hit[j], F.col("_c")).otherwise(0)).alias(f"b{i}_{j}") for i, j in pairs)).first() if pairs else None
     order, kept = sorted(range(len(found)), key=lambda i: (-found[i]["weight"], found[i]["k"], -found[i]["n_rows"], names[i])), []
     for i in order:
         if not any(both[f"b{min(i, j)}_{max(i, j)}"] >= COVERED * found[i]["n_rows"] for j in kept):
