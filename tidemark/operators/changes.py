@@ -7,6 +7,7 @@ works on days and values.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,7 @@ ROWS, DAYS = 100, 28  # a table of fewer dated rows, or days between the first a
 LEAST, SHARE = 20, 0.02  # rows of a value, and its share of all, to take part
 TRIM, SPAN, OVERLAP, GAP = 0.03, 0.10, 0.15, 14
 TOGETHER, NEAR = 14, 45  # days within which switches are one date, and within which dates are one change
+MANY = 1000  # values of a column, above which rows of one value and day are too few to be combined first
 LABELS = 60  # values of a column whose labels are followed
 _AMOUNTS = ("double", "float")
 
@@ -35,15 +37,27 @@ def day_histogram(df: DataFrame, day: str, columns: list[str], amounts: list[str
     kinds = dict(df.dtypes)
     others = [c for c in columns if c not in amounts]
     few = df.agg(*(F.approx_count_distinct(c).alias(c) for c in others)).first().asDict() if others else {}
-    views = [F.struct(F.lit(c).alias("column"), F.lit("sign").alias("view"), F.when(F.col(c) > 0, "positive").when(F.col(c) < 0, "negative").alias("value")) for c in columns if c in amounts]
-    for c in others:
-        views.append(F.struct(F.lit(c).alias("column"), F.lit("form").alias("view"), written_form(F.col(c), kinds[c]).alias("value")))
-        if 0 < few[c] <= 2 * LABELS:
-            views.append(F.struct(F.lit(c).alias("column"), F.lit("label").alias("view"), norm_key(F.col(c), kinds[c]).cast("string").alias("value")))
-    if not views:
+    if not columns:
         return df.sparkSession.createDataFrame([], "column string, view string, value string, day int, n long")
-    long = df.filter(F.col(day).isNotNull()).select(day_number(F.col(day)).alias("day"), F.inline(F.array(*views)))
-    hist = staged(long.filter("value is not null").groupBy("column", "view", "value", "day").agg(F.count("*").alias("n")), "days")
+    parts, dated = [], df.filter(F.col(day).isNotNull())
+    for c in columns:
+        view = lambda name, value, c=c: F.struct(F.lit(c).alias("column"), F.lit(name).alias("view"), value.alias("value"))
+        x, alike = F.col("x"), dated.select(F.col(c).alias("x"), day_number(F.col(day)).alias("day"))
+        if c in amounts:
+            views = [view("sign", F.col("x"))]
+            alike = alike.withColumn("x", F.when(x > 0, "positive").when(x < 0, "negative"))
+        else:
+            views = [view("form", F.col("x"))]
+            if few[c] > MANY:  # nearly every row has a value of its own: only its form is counted
+                alike = alike.withColumn("x", written_form(x, kinds[c]))
+            else:
+                views = [view("form", written_form(x, kinds[c]))]
+            if 0 < few[c] <= 2 * LABELS:
+                views.append(view("label", norm_key(x, kinds[c]).cast("string")))
+        # rows of one value and day are combined before it is looked at
+        parts.append(alike.groupBy("x", "day").agg(F.count("*").alias("c")).select("day", "c", F.inline(F.array(*views))))
+    long = reduce(DataFrame.union, [p.select("column", "view", "value", "day", "c") for p in parts])
+    hist = staged(long.filter("value is not null").groupBy("column", "view", "value", "day").agg(F.sum("c").alias("n")), "days")
     many = hist.filter("view = 'label'").groupBy("column", "view").agg(F.count_distinct("value").alias("v")).filter((F.col("v") < 2) | (F.col("v") > LABELS))
     return hist.join(F.broadcast(many), ["column", "view"], "left_anti")  # one row a column at most
 
