@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import staged
+from tidemark.operators.profile import distinct_counts
 
 
 def value_changes(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
@@ -40,6 +43,23 @@ def _type(kind: str) -> str:
     return "number" if kind.startswith("decimal") else "date" if kind.startswith("timestamp") else _TYPES.get(kind, kind)
 
 
+def _few_valued(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns that may have at most ``FEW`` values. A sketch leaves out the others: so few values never make it say twice as many, as each sets
+    one of its hundreds of registers at most."""
+    if not columns:
+        return []
+    r = df.agg(*(F.approx_count_distinct(c).alias(f"c{i}") for i, c in enumerate(columns))).first()
+    return [c for i, c in enumerate(columns) if r[f"c{i}"] <= 2 * FEW]
+
+
+def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, v``: the different values of columns, written as text. They are brought to one row each before they are written."""
+    kinds = dict(df.dtypes)
+    raw = {c: F.col(c).cast("string") if kinds[c] in ("float", "double") else F.col(c) for c in columns}  # 0.0 and -0.0 are two texts
+    parts = [df.filter(F.col(c).isNotNull()).groupBy(raw[c].alias("v")).agg(F.count("*").alias("_n")).select(F.lit(c).alias("column"), F.col("v").cast("string").alias("v")) for c in columns]
+    return reduce(DataFrame.union, parts).distinct() if parts else df.sparkSession.createDataFrame([], "column string, v string")
+
+
 def renamed_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     """``from, to, shared``: columns that are gone, each with the first new column of its type and shape, which no other takes.
 
@@ -48,18 +68,19 @@ def renamed_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     without values are no candidates; columns are taken in their order, which settles ties."""
     spark = old.sparkSession
     gone, fresh = [c for c in old.columns if c not in new.columns], [c for c in new.columns if c not in old.columns]
-    sides = []
-    for df, columns, side in ((old, gone, "old"), (new, fresh, "new")):
-        if columns:
-            tall = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns)))).filter("v is not null")
-            sides.append(tall.distinct().withColumn("side", F.lit(side)))
     none = spark.createDataFrame([], "`from` string, `to` string, shared long")
-    if len(sides) < 2:
+    if not gone or not fresh:
         return none
+    n, sides = {}, []
+    for df, columns, side in ((old, gone, "old"), (new, fresh, "new")):
+        few = _few_valued(df, columns)
+        many = [c for c in columns if c not in few]
+        if many:  # only counted
+            n |= {(side, r["name"]): r["n_distinct"] for r in distinct_counts(df, {c: [F.col(c).cast("string")] for c in many}).collect()}
+        sides.append(_texts(df, few).withColumn("side", F.lit(side)))
     values = staged(sides[0].union(sides[1]), "values")
-    n = {(r["side"], r["column"]): r["n"] for r in values.groupBy("side", "column").agg(F.count("*").alias("n")).collect()}  # a row a column
-    few = [c for k, c in n if n[k, c] <= FEW]
-    small = values.filter(F.col("column").isin(few))
+    n |= {(r["side"], r["column"]): r["n"] for r in values.groupBy("side", "column").agg(F.count("*").alias("n")).collect()}  # a row a column
+    small = values.join(F.broadcast(values.groupBy("side", "column").agg(F.count("*").alias("n")).filter(f"n <= {FEW}").select("side", "column")), ["side", "column"], "left_semi")  # a row a column
     both = small.filter("side = 'old'").select(F.col("column").alias("a"), "v").join(small.filter("side = 'new'").select(F.col("column").alias("b"), "v"), "v").groupBy("a", "b").agg(F.count("*").alias("n")).collect()
     shared = {(r["a"], r["b"]): r["n"] for r in both}
     kinds, out = (dict(old.dtypes), dict(new.dtypes)), []
@@ -99,7 +120,11 @@ def freshness(old: DataFrame, new: DataFrame, shown: int = 5) -> DataFrame:
     report = spark.createDataFrame(out, "kind string, column string, detail string, n long")
     if not changed:
         return report
-    tall = [d.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in changed)))).filter("v is not null").distinct() for d in (was, new)]
+    asked = _few_valued(was, changed)
+    asked = _few_valued(new, asked)
+    if not asked:
+        return report
+    tall = [_texts(d, asked) for d in (was, new)]
     values = tall[0].withColumn("w", F.lit(1)).union(tall[1].withColumn("w", F.lit(2))).groupBy("column", "v").agg(F.sum("w").alias("w"))
     values = staged(values, "values")
     few = values.groupBy("column").agg(F.count_if(F.expr("w % 2 = 1")).alias("x"), F.count_if(F.expr("w >= 2")).alias("y")).filter(f"x between 1 and {FEW} and y between 1 and {FEW}").select("column")
