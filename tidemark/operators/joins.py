@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import norm_key
 
+_NEVER = 2_000_000_000  # a day number that no date has
+
 
 def unmatched(df: DataFrame, ref: DataFrame, key: str, ref_key: str) -> DataFrame:
     """Rows whose key has no partner, and how many different values are missing. Null and blank keys aren't counted.
@@ -26,12 +28,20 @@ def outside_windows(lines: DataFrame, windows: DataFrame, key: str, day: str, st
     """Keys with at least ``least`` lines, and ``share`` of their lines, outside all their [start, end] ranges.
     A null start or end is open; keys without a range aren't judged.
 
-    A line is matched to its key's ranges only (an equi join with a range condition), never to all.
+    The ranges of a key and the gaps between them are laid out as stretches of days that cover all days once, so a
+    line is matched to one stretch of its key (an equi join with a range condition), and is added up at once.
     """
-    w = windows.select(key, F.coalesce(F.col(start).cast("date"), F.lit("0001-01-01").cast("date")).alias("_a"), F.coalesce(F.col(end).cast("date"), F.lit("9999-12-31").cast("date")).alias("_z"))
-    rows = lines.filter(F.col(key).isNotNull() & F.col(day).isNotNull()).select(key, F.col(day).cast("date").alias("_d"))
-    per = rows.groupBy(key, "_d").agg(F.count("*").alias("n"))
-    hit = per.join(w, key).groupBy(key, "_d", "n").agg(F.max((F.col("_d").between(F.col("_a"), F.col("_z"))).cast("int")).alias("inside"))
+    bound = lambda c, open_: F.unix_date(F.coalesce(F.col(c).cast("date"), F.lit(open_).cast("date")))
+    w = windows.filter(F.col(key).isNotNull()).select(key, bound(start, "0001-01-01").alias("_a"), bound(end, "9999-12-31").alias("_z"))
+    w = w.filter("_a <= _z").union(w.select(key, F.lit(_NEVER).alias("_a"), F.lit(_NEVER).alias("_z")).distinct())  # a range after all days closes the last gap
+    order = Window.partitionBy(key).orderBy("_a", "_z")
+    w = w.withColumn("_upto", F.max("_z").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    gap = F.struct(F.coalesce(F.col("_upto") + 1, F.lit(-_NEVER)).alias("_from"), (F.col("_a") - 1).alias("_to"), F.lit(0).alias("inside"))
+    new = F.struct(F.greatest(F.col("_a"), F.coalesce(F.col("_upto") + 1, F.col("_a"))).alias("_from"), F.col("_z").alias("_to"), F.lit(1).alias("inside"))
+    stretches = w.select(key, F.inline(F.array(gap, new))).filter("_from <= _to")
+    rows = lines.filter(F.col(key).isNotNull() & F.col(day).isNotNull()).select(key, F.unix_date(F.col(day).cast("date")).alias("_d"))
+    per = rows.groupBy(key, "_d").agg(F.count("*").alias("n")).withColumnRenamed(key, "_k")
+    hit = per.join(stretches, (F.col("_k") == F.col(key)) & F.col("_d").between(F.col("_from"), F.col("_to")))
     out = hit.groupBy(key).agg(F.sum("n").alias("n_lines"), F.sum(F.when(F.col("inside") == 0, F.col("n")).otherwise(0)).alias("n_outside"))
     return out.filter((F.col("n_outside") >= least) & (F.col("n_outside") >= share * F.col("n_lines")))
 
