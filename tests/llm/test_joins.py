@@ -3,6 +3,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, near_vectors, ngram_join, secrets, warc
 from tidemark.llm.prefix_tree import PrefixTree, Sequence
@@ -88,6 +89,63 @@ def test_count_links(spark):
     assert ngram_join.count_links(docs.limit(0)).count() == 0
 
 
+@pytest.fixture
+def sorted_joins(spark):
+    """Joins are broadcast only where the code says so, as they are on large tables."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_texts_kept_are_not_shuffled(spark, sorted_joins, monkeypatch):
+    docs = spark.createDataFrame([(4, BODY * 3), (9, BODY * 3 + "."), (11, "one two"), (12, "three"), (13, ""), (None, "four")], "doc_id long, text string")
+    for keep in (ngram_join.keep_one_row, ngram_join.keep_one):
+        kept = keep(docs)
+        assert exchanges(kept) == 0
+        want = sorted((r["doc_id"] or -1) for r in kept.collect())
+        assert want == [-1, 4, 11, 12, 13]
+        with monkeypatch.context() as m:  # more rows go than may be sent
+            m.setattr(ngram_join, "MOST_SENT", 0)
+            assert sorted((r["doc_id"] or -1) for r in keep(docs).collect()) == want
+
+
+def test_hits_are_dealt_once(spark, sorted_joins, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LISTED", 2)
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    hits = spark.createDataFrame([(c, node, 20, at) for node in (1, 2, 3) for at, c in enumerate((10, 11, 12, 13))], "code long, node long, n int, at int")
+    live = hits.filter("node < 3 and code <> 11 or node = 3 and code = 10").withColumn("component", F.col("node") * 100)
+    listed = ngram_join._listed(hits.filter("node < 4"), live)
+    assert exchanges(listed) == 1
+    got = {(r["node"], r["code"]): (r["component"], r["n"], r["at"], r["codes"], r["places"], r["end"]) for r in listed.collect()}
+    tail = {10: ([10, 11], [0, 1], 2), 12: ([12, 13], [2, 3], 5), 13: ([13], [3], 5)}
+    want = {(node, c): (node * 100, 20, c - 10, *tail[c]) for node in (1, 2) for c in (10, 12, 13)} | {(3, 10): (300, 20, 0, *tail[10])}
+    assert got == want
+    blocks = ngram_join._blocks(ngram_join.staged(listed, "entries"), (80, 100))
+    assert exchanges(blocks) == 0
+    rows = blocks.collect()
+    meet = {(a["code"], a["node"], b["node"]) for a in rows if a["probes"] for b in rows if b["stored"] and (b["block"], b["code"]) == (a["block"], a["code"])}
+    assert meet == {(c, x, y) for x, c in want for y, d in want if c == d and c < 13}  # 13 stands too late for a first common code
+
+
+def test_cut_up_is_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(70)]
+    texts = [(i, " ".join(w for w in words if rng.random() < 0.995)) for i in range(30)] + [(i, " ".join(words[i - 40 : i])) for i in range(40, 70)] + [(80, "one two"), (81, "One  two"), (82, None)]
+    sets = {i: set(s.tolist()) for (i, _), s in zip(texts, shingle_sets(pa.array([t for _, t in texts])), strict=True)}
+    pairs = [(i, j) for i, a in sets.items() for j, b in sets.items() if a and j != i and 100 * len(a & b) >= 80 * len(a | b)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for k, v in {"HOT": 3, "BLOCK": 8, "LISTED": 3, "GROUP": 4, "MOST_SENT": 0, "STARS": 0}.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.count_links(docs).collect()} == {i: sum(p == i for p, _ in pairs) for i in sets}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.link_documents(docs).collect()} == roots(list(sets), pairs)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

@@ -33,7 +33,7 @@ LISTED = 32  # codes of a set that a tree for proposals holds; what follows is b
 BLOCK, HOT = 4096, 1024  # sets in a block of trees, and of one code in one tree
 GROUP, GROUP_CODES = 256, 1 << 22  # sets, and their codes, in a tree that verifies
 SPREAD = 256  # keys over which the sets of a frequent shingle are dealt
-MOST_SENT = 1_000_000  # doc_ids that may be sent to all tasks; the texts are shuffled to more of them
+MOST_SENT = 1_000_000  # ids that may be sent to all tasks; what they are joined to is shuffled to more of them
 BITS = 4096  # of a set's parity bitmap
 _COLD = np.uint64((1 << 62) - 1)
 _FIRST = 1 << 62  # code of the rarest frequent shingle
@@ -59,6 +59,11 @@ def _long(values) -> pa.Array:
     return pa.array(values, pa.int64())
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A staged table, sent to all tasks while it is small, so that what it is joined to isn't shuffled."""
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
 def _survey(width: int):
     """Rows of documents (doc_id, n, a, b) and of shingles that are frequent in a chunk (a: shingle, n: count)."""
     def run(batches):
@@ -128,16 +133,17 @@ def _parity(shingles: np.ndarray) -> np.ndarray:
 
 def _sets(width: int, made):
     """Rows (node, n, what ``made`` gives for the set) of the rows (node, text) whose text has that fingerprint, as a
-    doc_id may be repeated with other texts."""
+    doc_id may be repeated with other texts. A null node stands for the text's own."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for s, e in text_slices(batch.column(1)):
                 nodes, sizes, out = [], [], []
                 for node, x in zip(batch.column(0).slice(s, e - s).to_pylist(), shingle_sets(batch.column(1).slice(s, e - s), width), strict=True):
-                    if node not in seen and set_fingerprint(x)[0] == node:
-                        seen.add(node)
-                        nodes.append(node)
+                    own = set_fingerprint(x)[0]
+                    if len(x) and own not in seen and node in (None, own):
+                        seen.add(own)
+                        nodes.append(own)
                         sizes.append(len(x))
                         out.append(made(x))
                 yield pa.RecordBatch.from_arrays([_long(nodes), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["node", "n", "made"])
@@ -154,10 +160,13 @@ class _Texts:
     order: object
 
     def sets(self, nodes: DataFrame | None, made) -> DataFrame:
-        """``node, n, made`` of those nodes (None: all). Their ids are sent to the texts while they are few."""
+        """``node, n, made`` of those nodes (None: all that have hits, or more). Their ids are sent to the texts while
+        they are few; of all nodes, what is made is then shuffled instead of the texts."""
         places = self.places if nodes is None else staged(self.places.join(nodes, "node", "left_semi"), "places")
-        sent = F.broadcast(places) if places.count() <= MOST_SENT else places
-        return self.docs.join(sent, "doc_id").select("node", "text").mapInArrow(_sets(self.width, made), "node long, n int, made array<long>")
+        kind = "node long, n int, made array<long>"
+        if nodes is None and places.count() > MOST_SENT:
+            return self.docs.select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(_sets(self.width, made), kind).dropDuplicates(["node"])
+        return self.docs.join(_sent(places), "doc_id").select("node", "text").mapInArrow(_sets(self.width, made), kind)
 
     def whole(self, nodes: DataFrame) -> DataFrame:
         order = self.order
@@ -165,9 +174,12 @@ class _Texts:
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, share) -> DataFrame:
-    """The pairs whose bitmaps don't differ in more places than linked sets may differ in shingles."""
+    """The (staged) pairs whose bitmaps don't differ in more places than linked sets may differ in shingles. Bitmaps
+    of sets without a pair aren't shuffled while few sets have one."""
     p, q = share
     bits = bits.select("node", F.col("n").alias("m"), F.col("made").alias("bits"))
+    if pairs.count() <= MOST_SENT // 2:
+        bits = bits.join(F.broadcast(pairs.select("node").union(pairs.select("probe")).distinct()), "node", "left_semi")
     both = pairs.join(bits, "node").join(bits.toDF("probe", "k", "other"), "probe")
     apart = F.aggregate(F.zip_with("bits", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     # the overlap is at least p / (p + q) of both sizes together
@@ -202,7 +214,7 @@ def _verify(pairs: DataFrame, texts: _Texts, share) -> DataFrame:
     dealt = pairs.join(per, "probe").select("probe", F.expr("pmod(xxhash64(node, probe), parts)").alias("part"), "node")
     probes = per.select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("probe").alias("node"))
     nodes = pairs.select("node").union(pairs.select("probe")).distinct()
-    rows = dealt.union(probes).join(texts.whole(nodes), "node")
+    rows = texts.whole(nodes).join(_sent(staged(dealt.union(probes), "dealt")), "node").select("probe", "part", "node", "codes")
     return rows.groupBy("probe", "part").applyInArrow(_verified(share), "u long, v long")
 
 
@@ -238,18 +250,22 @@ def _listed(hits: DataFrame, live: DataFrame) -> DataFrame:
     some = ahead.rowsBetween(0, LISTED - 1)
     p, q = SHARE
     first = F.expr(f"n - cast(ceil(n * {p} / {q}) as int) + 1")
-    of_live = live.select("code", "node", "component")
-    rows = hits.join(live.select("node").distinct(), "node", "left_semi").join(of_live, ["code", "node"], "left")
+    both = hits.select("code", "node", "n", "at", F.lit(None).cast("long").alias("component")).union(live.select("code", "node", "n", "at", "component"))
+    rows = both.repartition("node").groupBy("node", "code", "n", "at").agg(F.max("component").alias("component"))  # dealt once for all that follows
+    whole = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("alive", F.max("component").over(whole)).filter("alive is not null").drop("alive")
     rows = rows.withColumns({"codes": F.collect_list("code").over(some), "places": F.collect_list("at").over(some), "end": F.coalesce(F.lead("at", LISTED).over(ahead), first)})
     return rows.filter("component is not null")
 
 
 def _blocks(entries: DataFrame, share) -> DataFrame:
     """``entries`` dealt to blocks in which the trees of their codes are built: each entry is stored and probes. A
-    code of more than ``HOT`` entries is cut into chunks, and each chunk of probes meets each chunk of stored ones."""
-    per = staged(entries.groupBy("code").agg(F.ceil(F.count("*") / HOT).cast("int").alias("chunks")), "chunks")
+    code of more than ``HOT`` entries is cut into chunks, and each chunk of probes meets each chunk of stored ones.
+    There is at most one such code for ``HOT`` entries, so these alone are sent to all tasks."""
+    per = staged(entries.groupBy("code").agg(F.ceil(F.count("*") / HOT).cast("int").alias("chunks")).filter("chunks > 1"), "chunks")
     many = max(1, -(-entries.count() // BLOCK))
-    dealt = entries.join(per, "code").withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")), "small": _may_be_smaller(share)})
+    dealt = entries.join(F.broadcast(per), "code", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")), "small": _may_be_smaller(share)})
     cold = dealt.filter("chunks = 1").withColumns({"block": F.pmod(F.xxhash64("code"), F.lit(many)), "stored": F.lit(True), "probes": F.col("small")})
     hot = dealt.filter("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     stored = hot.withColumns({"block": F.xxhash64("code", "chunk", F.col("other").cast("long")), "stored": F.lit(True), "probes": F.lit(False)})
@@ -284,6 +300,7 @@ def _proposed(share):
 def _tree_pairs(live: DataFrame, hits: DataFrame, share) -> DataFrame:
     """What the trees over the ``live`` codes propose."""
     entries = staged(_listed(hits, live), "entries")
+    release(live.sparkSession)
     found = _blocks(entries, share).groupBy("block").applyInArrow(_proposed(share), "probe long, node long, n int")
     return found.distinct()
 
@@ -321,6 +338,7 @@ def _prepared(docs: DataFrame, width: int, share):
     known = docs.filter("doc_id is not null")
     first = known.select("text").mapInArrow(_first_codes(width, order, share), "key long, node long, place long")
     hits = staged(_shared(first), "hits")
+    release(spark)
     kept = staged(_kept(hits, share), "kept")
     classes = staged(rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")), "classes")
     places = staged(kept.select("node").distinct().join(classes, F.col("node") == F.col("a")).select("node", "doc_id"), "places")
@@ -347,12 +365,13 @@ def link_documents(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] =
             live = kept.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = live.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("code")
             live = staged(live.join(mixed, "code"), "live")
-        pairs = _star_pairs(live, turn, share) if star else _tree_pairs(live, hits, share)
-        pairs = staged(_possible(pairs, bits, share), "pairs")
+        proposed = staged(_star_pairs(live, turn, share) if star else _tree_pairs(live, hits, share), "proposed")
+        release(docs.sparkSession)
+        pairs = staged(_possible(proposed, bits, share), "pairs")
         release(docs.sparkSession)
         found = None if pairs.isEmpty() else staged(_verify(pairs, texts, share), "links")
         joined = 0 if found is None else found.count()
-        discard(pairs, live)
+        discard(proposed, pairs, live)
         release(docs.sparkSession)
         if joined:
             links = found if links is None else links.union(found)
@@ -384,7 +403,8 @@ def count_links(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SH
     and give no links.
     """
     rows, classes, hits, kept, texts, bits = _prepared(docs, width, share)
-    pairs = staged(_possible(_tree_pairs(kept.withColumn("component", F.col("node")), hits, share), bits, share), "pairs")
+    proposed = staged(_tree_pairs(kept.withColumn("component", F.col("node")), hits, share), "proposed")
+    pairs = staged(_possible(proposed, bits, share), "pairs")
     links = staged(_verify(pairs, texts, share), "links")
     sizes = rows.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.count("*").alias("copies"))
     others = links.union(links.select("v", "u")).join(sizes.select(F.col("a").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
@@ -396,21 +416,28 @@ def count_links(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SH
 def keep_one(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id; rows with a null
     doc_id stay. If that doc_id is repeated, its rows stay as they are."""
-    kept = link_documents(docs, width, share).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null")).select(docs.columns)
+    first = F.max(F.col("doc_id") == F.col("component_id"))
+    left = link_documents(docs, width, share).groupBy("doc_id").agg(first.alias("first")).filter("not first").select("doc_id")
+    return docs.join(_sent(staged(left, "left")), "doc_id", "left_anti").select(docs.columns)
 
 
 def keep_one_row(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """``docs`` with one row of each component, rows with null or repeated doc_ids included: of the smallest doc_id
     (null last), then of the smallest fingerprint of all its columns. Rows that are equal throughout are one.
-    Rows without words link with nothing and stay, each different one once."""
+    Rows without words link with nothing and stay, each different one once. The keys of rows that go are sent to all
+    tasks while they are few, so that texts aren't shuffled."""
     keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    group = link_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), width, share).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies"))
+    linked = link_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), width, share)
+    group = staged(linked.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies")), "group")
+    release(docs.sparkSession)
     ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "copies")).alias("first")
-    kept = staged(group.join(ids, "_key").groupBy("component").agg(first).select("first._key", "first.copies"), "kept")
-    out = keyed.join(kept.filter("copies = 1"), "_key", "left_semi")
-    repeated = kept.filter("copies > 1")
+    kept = staged(group.join(ids, "_key").groupBy("component").agg(first).select("component", "first._key", "first.copies"), "kept")
+    of = kept.select("component", F.col("_key").alias("first"))
+    left = staged(group.join(of, "component").filter("_key <> first or copies > 1").select("_key"), "left")
+    release(docs.sparkSession)
+    out = keyed.join(_sent(left), "_key", "left_anti")
+    repeated = kept.filter("copies > 1").select("_key")
     if not repeated.isEmpty():
         out = out.union(keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
     return out.select(docs.columns)
